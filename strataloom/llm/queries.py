@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm.common import table
 from strataloom.llm.host_rules import apply_rules
+from strataloom.llm.near_dedup import near_duplicates
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +16,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules,)}
+    return {f.__name__: f for f in (op3_quality_rules, op10_near_dedup)}
 
 
 OP3_SQL = r"""
