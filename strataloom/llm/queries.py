@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strataloom.llm.common import table
 from strataloom.llm.host_rules import apply_rules
 from strataloom.llm.near_dedup import near_duplicates
+from strataloom.llm.packing import pack_documents
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +17,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op10_near_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op9_best_fit_packing, op10_near_dedup)}
 
 
 OP3_SQL = r"""
