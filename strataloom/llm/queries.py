@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm.common import table
 from strataloom.llm.host_rules import apply_rules
+from strataloom.llm.line_dedup import drop_boilerplate
+from strataloom.llm.mixing import mix_sources
 from strataloom.llm.near_dedup import near_duplicates
 from strataloom.llm.packing import pack_documents
 
@@ -17,6 +19,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drop_boilerplate(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "text", "lines_total", "lines_dropped")
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix_sources(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,7 +40,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
 
 
 OP3_SQL = r"""
@@ -64,5 +76,25 @@ FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), pages AS (
+  SELECT source, count(*) AS pages FROM d GROUP BY source
+), counts AS (
+  SELECT source, line, count(*) AS n FROM (
+    SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))))) AS line FROM d
+  ) WHERE line <> '' GROUP BY source, line
+), frequent AS (
+  SELECT counts.source, list(line) AS bad FROM counts JOIN pages ON counts.source IS NOT DISTINCT FROM pages.source
+  WHERE n >= 5 AND n > 0.1::DOUBLE * pages GROUP BY counts.source
+), kept AS (
+  SELECT doc_id, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(bad, []::VARCHAR[]), trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)))) AS kept
+  FROM d LEFT JOIN frequent ON d.source IS NOT DISTINCT FROM frequent.source
+)
+SELECT doc_id, array_to_string(kept, chr(10)) AS text, len(lines) AS lines_total, len(lines) - len(kept) AS lines_dropped FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_line_dedup": OP4_SQL}
