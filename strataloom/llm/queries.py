@@ -12,6 +12,7 @@ from strataloom.llm.line_dedup import drop_boilerplate
 from strataloom.llm.mixing import mix_sources
 from strataloom.llm.near_dedup import near_duplicates
 from strataloom.llm.packing import pack_documents
+from strataloom.llm.quality import quality_scores
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "text", "lines_total", "lines_dropped")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
@@ -40,7 +45,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op3_quality_rules, op4_line_dedup, op6_quality_classifier, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
 
 
 OP3_SQL = r"""
