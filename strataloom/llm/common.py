@@ -29,19 +29,24 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    Only where that is unset, as in tests on one machine, a temporary folder takes its
+    place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
