@@ -14,12 +14,17 @@ from strataloom.llm.mixing import mix_sources
 from strataloom.llm.near_dedup import near_duplicates
 from strataloom.llm.packing import pack_documents
 from strataloom.llm.quality import quality_scores
+from strataloom.llm.suffix_dedup import remove_repeats
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_rules(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,7 +55,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op3_quality_rules, op4_line_dedup, op6_quality_classifier, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op6_quality_classifier, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
 
 
 OP3_SQL = r"""
