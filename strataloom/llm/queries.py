@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.llm.common import table
 from strataloom.llm.host_rules import apply_rules
+from strataloom.llm.hnsw import nearest_neighbours
 from strataloom.llm.html_text import extract_pages
 from strataloom.llm.line_dedup import drop_boilerplate
 from strataloom.llm.mixing import mix_sources
@@ -44,6 +45,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", "repeats", "taken")
 
 
+def op8_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +60,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op6_quality_classifier, op7_source_mixing, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup)}
 
 
 OP3_SQL = r"""
