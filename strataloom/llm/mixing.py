@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Budget that dynamic programming closes exactly; what lies above goes by whole lengths.
 TABLE_BUDGET = 1 << 14
 #: Rows, about, among which places are ranked in one group.
-RANKED_ROWS = 4096
+RANKED_ROWS = 512
 
 
 def source_targets(sources: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
