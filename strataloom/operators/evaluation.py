@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import random
-from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,15 +56,16 @@ def paired_systems(rows: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(n(x & y)("both_pass"), n(x & ~y)("a_only"), n(~x & y)("b_only"), n(~x & ~y)("neither"))
 
 
-@F.pandas_udf("double")
-def mcnemar_p(a_only: pd.Series, b_only: pd.Series) -> pd.Series:
-    """Exact two-sided McNemar probability of the discordant counts."""
+def mcnemar_p(a_only: Column, b_only: Column) -> Column:
+    """Exact two-sided McNemar probability of the discordant counts.
 
-    def one(a: int, b: int) -> float:
-        n, low = a + b, min(a, b)
-        return 1.0 if not n else min(1.0, 2 * sum(comb(n, i) for i in range(low + 1)) / 2**n)
-
-    return pd.Series([one(int(a), int(b)) for a, b in zip(a_only, b_only, strict=True)])
+    Sums the binomial tail in logarithms, so large counts do not underflow.
+    """
+    n, low = (a_only + b_only).cast("double"), F.least(a_only, b_only).cast("int")
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
+    step = lambda acc, i: F.struct((acc["term"] + F.log((n - i) / (i + 1))).alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
+    tail = F.aggregate(F.sequence(F.lit(0), low), start, step, lambda acc: acc["total"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def holm(rows: DataFrame, p: str, *group: str) -> DataFrame:
@@ -87,8 +88,6 @@ def bootstrap(rows: DataFrame, resamples: int = 1000, seed: int = 7) -> DataFram
         for r in batch.itertuples():
             n = r.both_pass + r.a_only + r.b_only + r.neither
             draw = random.Random(f"{seed} {r.a} {r.b}")
-            import numpy as np
-
             rng = np.random.default_rng(draw.getrandbits(64))
             picks = rng.multinomial(n, [r.a_only / n, r.b_only / n, 1 - (r.a_only + r.b_only) / n], resamples)
             d = np.sort((picks[:, 0] - picks[:, 1]) / n)

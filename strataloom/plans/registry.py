@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import pages
+from strataloom.plans import documents, pages
 
-MODULES = (pages,)
+MODULES = (pages, documents)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
