@@ -11,7 +11,11 @@ from strataloom.lineage import cut
 
 def entities(records: DataFrame) -> DataFrame:
     """(doc_id, source, type, value): every match of the entity patterns, in order."""
-    kinds = F.flatten(F.array(*[F.transform(F.regexp_extract_all("content", F.lit(f"({p})"), F.lit(1)), lambda v, k=k: F.struct(F.lit(k).alias("type"), v.alias("value"))) for k, p in T.ENTITIES.items()]))
+
+    def matches(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+    kinds = F.flatten(F.array(*[matches(k, p) for k, p in T.ENTITIES.items()]))
     return records.select("doc_id", "source", F.posexplode(kinds).alias("pos", "e")).select("doc_id", "source", "pos", "e.type", "e.value").where(F.length("value") >= 3)
 
 

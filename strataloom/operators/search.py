@@ -49,7 +49,8 @@ def bm25(records: DataFrame, terms: Sequence[str], k: int = 10, k1: float = 1.2,
     Only the query's terms are counted, in one pass over the text, with the lengths.
     """
     words = T.keywords(F.col("content"))
-    counted = records.select("doc_id", F.size(words).alias("dl"), *[F.size(F.filter(words, lambda w, t=t: w == t)).alias(f"t{i}") for i, t in enumerate(terms)])
+    frequency = lambda term: F.size(F.filter(words, lambda w: w == term))
+    counted = records.select("doc_id", F.size(words).alias("dl"), *[frequency(t).alias(f"t{i}") for i, t in enumerate(terms)])
     shape = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.when(F.col(f"t{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     # one row
     joined = counted.join(F.broadcast(shape))
