@@ -29,6 +29,8 @@ from strataloom.llm.common import BROADCAST_BYTES, cut, join_small, prefix_hashe
 #: Bytes that decide a cut, and grams within which there is one.  Windows have to be
 #: longer than 3 * REACH + GRAM, so that they decide a whole phrase.
 GRAM, REACH = 16, 96
+#: Bytes of text at a time; the arrays over them take about a hundred times as much.
+SLICE = 1 << 19
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -114,7 +116,7 @@ def _occurrences(source: DataFrame, length: int, fields: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, data, offsets in text_slices(batch.column(2)):
+            for row, data, offsets in text_slices(batch.column(2), SLICE):
                 p = Phrases(data, offsets, length)
                 at = pa.array(p.row + row)
                 made: dict[str, Callable[[], pa.Array]] = {
@@ -215,30 +217,32 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(sid, first, symbols, windows) of the phrases named in ``wanted`` (id, ver, numbers)."""
+    """(id, ver, first, core, symbols, windows) of the phrases named in ``wanted`` (id, ver, numbers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vers, at, firsts, symbols, windows = [], [], [], [], [], []
-            for row, data, offsets in text_slices(batch.column(2)):
+            at, firsts, cores, symbols, windows = [], [], [], [], []
+            for row, data, offsets in text_slices(batch.column(2), SLICE):
                 p = Phrases(data, offsets, length)
                 numbers = batch.column(3).slice(row, len(offsets) - 1).to_pylist()
                 asked = [set(n) for n in numbers]
+                every = p.cores().view(np.int64)
                 for i, (r, n) in enumerate(zip(p.row.tolist(), p.number.tolist(), strict=True)):
                     if n in asked[r]:
                         at.append(row + r)
                         firsts.append(int(p.low[i] - offsets[r]))
+                        cores.append(every[i])
                         symbols.append(p.strings(i).view(np.int64))
                         windows.append(p.windows(i).view(np.int64))
             at = pa.array(at, pa.int64())
             yield pa.record_batch(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(firsts, pa.int64()), pa.array(symbols, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.int64()))],
-                ["id", "ver", "first", "symbols", "windows"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(firsts, pa.int64()), pa.array(cores, pa.int64()), pa.array(symbols, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.int64()))],
+                ["id", "ver", "first", "core", "symbols", "windows"],
             )
 
     # repeated rows with one key and text are one text here
     found = join_keys(docs, wanted, 24, "inner").select("id", "ver", "text", "numbers")
-    return found.mapInArrow(run, "id long, ver long, first long, symbols array<long>, windows array<long>").dropDuplicates(["id", "ver", "first"])
+    return found.mapInArrow(run, "id long, ver long, first long, core long, symbols array<long>, windows array<long>").dropDuplicates(["id", "ver", "first"])
 
 
 def join_keys(docs: DataFrame, side: DataFrame, row_bytes: int, how: str) -> DataFrame:
@@ -319,14 +323,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     edges = cut(classes.join(mixed, "core", "left_semi").select("at.*", "n"))
     wanted = cut(edges.groupBy("id", "ver").agg(F.collect_set("number").alias("numbers")))
     strings = cut(_candidates(source, wanted, length).withColumn("sid", F.monotonically_increasing_id()))
-    depth = strings.agg(F.max(F.size("symbols"))).first()[0] or 1
-    symbols = strings.select("sid", F.posexplode("symbols").alias("idx", "s")).select("sid", F.col("idx").cast("long").alias("idx"), "s")
-    heads = suffix_ranks(symbols, depth).where("idx = 0").select("sid", "rank")
-    shared = heads.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    heads = heads.join(shared, "rank", "left_semi")
-    single = strings.join(heads, "sid").select("id", "ver", "rank", F.posexplode("windows").alias("i", "window"), "first")
+    # a core decides the phrases after its cut, so its phrases share one string
+    named = cut(strings.groupBy(F.col("core").alias("sid")).agg(F.first("symbols").alias("symbols")))
+    depth = named.agg(F.max(F.size("symbols"))).first()[0] or 1
+    symbols = named.select("sid", F.posexplode("symbols").alias("idx", "s")).select("sid", F.col("idx").cast("long").alias("idx"), "s")
+    heads = cut(suffix_ranks(symbols, depth).where("idx = 0").select(F.col("sid").alias("core"), "rank"))
+    ranked = join_small(strings, heads, "core", "inner", 24)
+    # a phrase has at most REACH windows
+    single = ranked.select("rank", F.posexplode("windows").alias("i", "window"), "sid").select("rank", "window", (F.col("sid") * REACH + F.col("i")).alias("place"))
     again = single.groupBy("rank", "window").agg(F.count("*").alias("n")).where("n > 1").select("rank", "window")
-    parts = single.join(again, ["rank", "window"], "left_semi").select("id", "ver", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("windows"))
+    marked = single.join(again, ["rank", "window"], "left_semi").select(F.expr(f"place div {REACH}").alias("sid"), F.pmod("place", F.lit(REACH)).alias("i"))
+    marked = marked.groupBy("sid").agg(F.collect_list("i").alias("at")).join(strings.select("sid", "id", "ver", "first"), "sid")
+    parts = marked.select("id", "ver", "first", F.explode("at").alias("i")).select("id", "ver", (F.col("first") + F.col("i")).alias("first"), F.lit(1).alias("windows"))
 
     lone = cut(classes.where("n = 1").select("cover"))
     whole = join_small(among("id ver first windows core cover"), lone, "cover", "left_anti", 16).select("id", "ver", "first", "windows")
