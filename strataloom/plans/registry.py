@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import documents, pages
+from strataloom.plans import analytics, documents, pages
 
-MODULES = (pages, documents)
+MODULES = (pages, documents, analytics)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
