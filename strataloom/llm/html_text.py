@@ -243,7 +243,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 80, rate:
 
 
 @lru_cache
-def default_field(n_pages: int = 240, seed: int = 3) -> Field:
+def default_field(n_pages: int = 480, seed: int = 3) -> Field:
     """The field trained on the package's labelled pages, once per process."""
     pages = []
     for page in labelled_pages(n_pages, seed):
