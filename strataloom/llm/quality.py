@@ -126,10 +126,11 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(FOLDS))
 
 
-def _sample(rows: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """At most ``TRAIN_ROWS`` of ``n`` rows, by a hash of the key; the limit only trims chance excess."""
-    share = min(1.0, TRAIN_ROWS / max(n, 1))
-    return rows.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(share * 1_000_000)).limit(TRAIN_ROWS)
+def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most ``TRAIN_ROWS`` of ``n`` rows, those with the least hashes of the key, so reruns agree."""
+    share = min(1.0, 1.05 * TRAIN_ROWS / max(n, 1))
+    draw = F.xxhash64(F.lit(seed), "id")
+    return rows.where(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(draw, *rows.columns).limit(TRAIN_ROWS)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
@@ -147,9 +148,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     n_known, n_positive, n_rows = *known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first(), rows.count()
     net = None
     if n_positive:
-        trusted = _sample(known.where("label = 1"), n_positive, "id", 1)
-        positive = rows.join(F.broadcast(trusted), "id", "left_semi").limit(TRAIN_ROWS).toPandas()
-        unlabelled = _sample(rows, n_rows, "id", 2).toPandas()
+        trusted = _sample(known.where("label = 1").select("id"), n_positive, 1)
+        positive = _sample(rows.join(F.broadcast(trusted), "id", "left_semi"), 1, 3).toPandas()
+        unlabelled = _sample(rows, n_rows, 2).toPandas()
         if len(positive) and len(unlabelled):
             prior = (n_positive + 1) / (n_known + 2)
             order = lambda x: np.stack(x.sort_values("id", kind="stable")["x"])
