@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import analytics, documents, pages
+from strataloom.plans import analytics, documents, extraction, pages
 
-MODULES = (pages, documents, analytics)
+MODULES = (pages, documents, analytics, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
