@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,8 +91,8 @@ def chunks(markdown: str, most: int) -> list[tuple[int, str | None, int, str]]:
     return out
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", content: str = "content", max_tokens: int = 4000) -> DataFrame:
-    """(key, chunk_index, heading, token_count, text, chunk_hash) of every document's chunks.
+def chunk_documents(docs: DataFrame, key: str = "doc_id", content: str = "content", max_tokens: int = 4000, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, chunk_index, heading, token_count, text, chunk_hash) of every document's chunks, and the columns to ``keep``.
 
     Null and blank contents have no chunks.  One row is read at a time and its chunks go
     on at once, so memory follows the longest document alone.
@@ -100,12 +100,13 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", content: str = "conten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, *c) for n, value in enumerate(batch.column(1).to_pylist()) for c in chunks(value or "", max_tokens)]
+            rows = [(n, *c) for n, value in enumerate(batch.column(0).to_pylist()) for c in chunks(value or "", max_tokens)]
             at, index, heading, size, text = zip(*rows, strict=True) if rows else [()] * 5
-            keys = batch.column(0).take(pa.array(at, pa.int64()))
-            yield pa.record_batch([keys, pa.array(index, pa.int32()), pa.array(heading, pa.string()), pa.array(size, pa.int64()), pa.array(text, pa.string())], ["key", "chunk_index", "heading", "token_count", "text"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("key"), F.col(content).cast("string").alias("content"))
-    made = source.mapInArrow(run, f"key {kind}, chunk_index int, heading string, token_count long, text string")
-    return made.withColumnRenamed("key", key).withColumn("chunk_hash", T.content_hash(F.col("text")))
+            kept = pa.array(at, pa.int64())
+            yield pa.record_batch([*(c.take(kept) for c in batch.columns[1:]), pa.array(index, pa.int32()), pa.array(heading, pa.string()), pa.array(size, pa.int64()), pa.array(text, pa.string())], [*columns, "chunk_index", "heading", "token_count", "text"])
+
+    columns = [key, *keep]
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    source = docs.select(F.col(content).cast("string"), *columns)
+    made = source.mapInArrow(run, kinds + "chunk_index int, heading string, token_count long, text string")
+    return made.withColumn("chunk_hash", T.content_hash(F.col("text")))

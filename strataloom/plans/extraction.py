@@ -29,10 +29,9 @@ def html_markdown(spark, sf_dir):
 def page_chunks(spark, sf_dir):
     """Chunks of pages' Markdown, cut at headings and paragraphs, with their stable ids."""
     rows = to_markdown(table(spark, sf_dir, "pages")).withColumn("content_hash", T.content_hash(F.col("content")))
-    made = chunk_documents(rows, "page_id", "content", 100)
-    joined = made.join(rows.select("page_id", "url", "content_hash"), "page_id")
+    made = chunk_documents(rows, "page_id", "content", 100, keep=["url", "content_hash"])
     number = F.col("chunk_index")
-    return joined.select("page_id", "chunk_index", "heading", "token_count", "chunk_hash", T.stable_id("chunk", F.col("url"), F.col("content_hash"), number, F.col("heading")).alias("chunk_id"))
+    return made.select("page_id", "chunk_index", "heading", "token_count", "chunk_hash", T.stable_id("chunk", F.col("url"), F.col("content_hash"), number, F.col("heading")).alias("chunk_id"))
 
 
 def document_chunks(spark, sf_dir):
