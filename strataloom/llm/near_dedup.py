@@ -1,8 +1,8 @@
 """MinHash near-duplicate classes.
 
 One-permutation hashing with optimal densification gives each text a signature; bands
-of it make buckets; each bucket proposes a star of candidate links around its best
-connected member instead of all its pairs; full shingle sets confirm every link; and
+of it make buckets; each bucket proposes stars of candidate links around its best
+connected members, first one and then more, until its members are compared or connected; full shingle sets confirm every link; and
 connected components of the confirmed links are the classes.
 """
 
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strataloom.llm.common import cut, join_small, mix, shingle_hashes, text_slices, word_hashes
 
@@ -23,6 +24,8 @@ BINS = 256
 #: with probability (1 - s**5)**51: one in a million at 0.75.
 BAND = 5
 BANDS = BINS // BAND
+#: Each round gives a bucket that many times the centres of the round before.
+MORE_STARS = 4
 
 
 @lru_cache
@@ -136,9 +139,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ``component_id`` is the least key reachable over links found.
 
     Documents of equal sets become one before buckets are made, so copies add no pairs.
-    The star of the first round centres each bucket on the member with most bucket
-    mates.  Buckets that still hold several components get further stars, centred on
-    members of components that had no centre yet, until a round confirms no new link.
+    Stars compare a bucket's members: the first round centres each bucket on the member
+    with most bucket mates, and each further round gives it ``MORE_STARS`` times as many
+    centres.  A bucket ends only when one component holds all members that were no
+    centre, so two members of a bucket are compared or connected by other links.
     Keys are numbers; a null key takes part, but only keys that are not null name a
     component.  Other columns play no part; repeated rows with the same key give
     repeated result rows.
@@ -159,14 +163,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = cut(texts)
 
     tried = found = None
-    state = shared.withColumn("component", F.col("rep")).withColumn("past", F.lit(False))
+    state, stars = shared.withColumn("component", F.col("rep")), 1
     while True:
-        rank = F.when(~F.col("past"), F.struct("mates", -F.col("rep"), "rep", "n", "component"))
-        centres = state.groupBy("bucket").agg(F.max(rank).alias("c"), F.min("component").alias("a"), F.max("component").alias("b"))
-        centres = centres.where("a <> b and c is not null").select("bucket", F.col("c.rep").alias("u"), F.col("c.n").alias("un"), F.col("c.component").alias("uc"))
-        star = state.join(centres, "bucket")
-        near = star.where("component <> uc").where(F.least("n", "un") * 100 >= F.greatest("n", "un") * percent)
-        pairs = near.select("u", F.col("rep").alias("v")).distinct()
+        # members that have been centres have met all others and are gone from state
+        several = state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
+        state = cut(state.join(several, "bucket"))
+        if state.isEmpty():
+            break
+        best = Window.partitionBy("bucket").orderBy(F.desc("mates"), "rep")
+        state = cut(state.withColumn("place", F.row_number().over(best)))
+        centres = state.where(F.col("place") <= stars).select("bucket", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("component").alias("uc"), F.col("place").alias("up"))
+        near = state.join(centres, "bucket").where("place > up and component <> uc").where(F.least("n", "un") * 100 >= F.greatest("n", "un") * percent)
+        pairs = near.groupBy(F.least("u", "rep").alias("low"), F.greatest("u", "rep").alias("high")).agg(F.max("u").alias("u"))
+        pairs = pairs.select("u", F.when(F.col("u") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("v"))
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = cut(pairs)
@@ -174,19 +183,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         links = cut(sides.select("u", "v", "ut", "vt").sortWithinPartitions("u").mapInArrow(_confirm(width, percent), pairs.schema))
         if found is None:
             found = components(links)
-        elif links.isEmpty():
-            break
-        else:
+        elif not links.isEmpty():
             found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         tried = both if tried is None else tried.unionByName(both)
-        # a component that has had a centre in this bucket gives no further one
         of = found.select(F.col("node").alias("rep"), F.col("component").alias("least"))
-        star = star.select("bucket", "rep", "n", "mates", "past", "u").join(of, "rep", "left")
-        star = star.join(of.select(F.col("rep").alias("u"), F.col("least").alias("centre")), "u", "left")
-        component = F.coalesce("least", "rep")
-        state = cut(star.select("bucket", "rep", "n", "mates", component.alias("component"), (F.col("past") | (component == F.coalesce("centre", "u"))).alias("past")))
+        state = state.where(F.col("place") > stars).join(of, "rep", "left")
+        state = state.select("bucket", "rep", "n", "mates", F.coalesce("least", "rep").alias("component"))
+        stars *= MORE_STARS
 
+    if found is None:
+        found = components(shared.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0))
     own = rows.select("set_key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     own = own.select("set_key", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(own, "set_key", "left")

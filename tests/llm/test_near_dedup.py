@@ -70,6 +70,23 @@ def test_chains_of_near_texts(spark):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_link_among_many_bucket_mates(spark):
+    # all hold one template and share buckets; only the two with fewest mates are near
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(204)]
+    blocks = [[f"e{i}_{j}" for j in range(10)] for i in range(20)]
+    rows = []
+    for i in range(300):
+        mine = rng.sample(blocks, 10)
+        rows.append((i, " ".join(base + [w for block in mine for w in block])))
+    for key, places in ((300, (50, 150)), (301, (20, 100, 180))):
+        rows.append((key, " ".join(f"x{key}_{i}" if i in places else w for i, w in enumerate(base))))
+    wanted = brute(rows)
+    assert [k for k, *_, kept in wanted if not kept] == [301]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == wanted
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
