@@ -15,6 +15,8 @@ from strataloom.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Budget that dynamic programming closes exactly; what lies above goes by whole lengths.
 TABLE_BUDGET = 1 << 14
+#: Bits of all states of the table for a source whose lengths leave a gap otherwise.
+TABLE_BITS = 1 << 29
 #: Rows, about, among which places are ranked in one group.
 RANKED_ROWS = 512
 
@@ -55,7 +57,7 @@ def _closest_subset(sizes: list[int], counts: list[int], budget: int) -> dict[in
     room = (1 << (2 * budget + 1)) - 1
     states, items = [1], []
     for size, count in zip(sizes, counts, strict=True):
-        step = 1
+        step, count = 1, min(count, 2 * budget // size)
         while count > 0 and not states[-1] >> budget & 1 and size <= 2 * budget:
             n = min(step, count)
             new = (states[-1] | states[-1] << (n * size)) & room
@@ -82,7 +84,10 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, max_repeat
 
     Each length first gives its share of the remaining budget, rounded down; longer
     documents then fill what is left down to ``TABLE_BUDGET``, and dynamic programming
-    over the lengths that still have documents closes the rest.
+    over the lengths that still have documents closes the rest.  If none of them fits
+    into what is left, the shortest is taken where going over is closer.  Where a gap
+    stays, the whole remaining budget is fitted again without shares, if that table has
+    at most ``TABLE_BITS``, and the closer choice counts.
     """
     whole_size = sum(s * c for s, c in zip(sizes.tolist(), counts.tolist(), strict=True))
     if whole_size == 0:
@@ -101,11 +106,21 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, max_repeat
             n = min(int(counts[i]) - extra[i], (left - TABLE_BUDGET + size - 1) // size, left // size)
             extra[i] += n
             left -= n * size
-    if left:
-        free = [i for i in order if sizes[i] and counts[i] > extra[i]]
-        chosen = _closest_subset([int(sizes[i]) for i in free], [int(counts[i]) - extra[i] for i in free], min(left, TABLE_BUDGET))
+    free = [i for i in order if sizes[i] and counts[i] > extra[i]]
+    if left > TABLE_BUDGET:  # every free length is longer than what is left
+        if free and int(sizes[free[-1]]) - left < left:
+            extra[free[-1]] += 1
+            left -= int(sizes[free[-1]])
+    elif left:
+        chosen = _closest_subset([int(sizes[i]) for i in free], [int(counts[i]) - extra[i] for i in free], left)
         for i in free:
             extra[i] += chosen.get(int(sizes[i]), 0)
+            left -= chosen.get(int(sizes[i]), 0) * int(sizes[i])
+    items = sum(int(c).bit_length() for s, c in zip(sizes, counts, strict=True) if s)
+    if left and items * (2 * budget + 1) <= TABLE_BITS:
+        chosen = _closest_subset([int(sizes[i]) for i in order if sizes[i]], [int(counts[i]) for i in order if sizes[i]], budget)
+        if abs(budget - sum(s * n for s, n in chosen.items())) < abs(left):
+            extra = [chosen.get(int(s), 0) for s in sizes]
     return rounds, np.array(extra, np.int64)
 
 

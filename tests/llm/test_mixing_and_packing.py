@@ -116,6 +116,14 @@ def fewest(sizes, capacity):
     return best
 
 
+def test_fit_of_few_long_documents():
+    taken = lambda sizes, counts, target: (fit_lengths(np.array(sizes), np.array(counts), target, 3)[1] * sizes).sum()
+    assert taken([100_000], [1], 60_000) == 100_000 and taken([100_000], [1], 40_000) == 0
+    assert taken([10_000_000], [10**6], 6_000_000) == 10_000_000
+    assert taken([30_000, 50_000], [2, 1], 57_000) == 60_000
+    assert taken([30_000, 100_000], [2, 1], 100_000) == 100_000
+
+
 def test_bounds_never_pass_the_best_packing():
     rng = np.random.default_rng(2)
     for _ in range(150):
