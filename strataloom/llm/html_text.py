@@ -19,9 +19,10 @@ from strataloom.llm.html_training import labelled_pages
 # ---------------------------------------------------------------- blocks
 
 #: Content that is never text.
-_RAW = "script style noscript template svg iframe textarea title select object canvas math"
+_RAW = "script style noscript template svg iframe textarea title select object canvas"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"""|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*+(?<=/)>"""
     rf"|<({_RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
@@ -133,7 +134,7 @@ def leaf_blocks(page: str) -> list[Block]:
             if name.lower() == "data-main":
                 label = value
             else:
-                names += ["name " + x.lower() for x in _NAME.findall(value)[:20]]
+                names += ["name " + x.lower() for x in _NAME.findall(value)]
         stack.append((tag, tuple(names), label))
         active.update(names)
         link_depth += tag == "a"

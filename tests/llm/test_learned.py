@@ -69,6 +69,13 @@ def test_blocks():
     assert leaf_blocks("") == [] and [b.text for b in leaf_blocks("plain < text")] == ["plain < text"]
 
 
+def test_blocks_after_empty_svg_with_math_and_many_names():
+    page = '<p>One.</p><svg class="i"/><p>Two<svg><title>no</title></svg>.</p><svg/><math/><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>'
+    assert [b.text for b in leaf_blocks(page)] == ["One.", "Two.", "So x=1."]
+    (block,) = leaf_blocks(f'<div class="{" ".join("u" + chr(97 + i) for i in range(25))} comments">text</div>')
+    assert "name comments" in block.names
+
+
 def test_viterbi_finds_the_best_path():
     random = np.random.default_rng(0)
     field = Field({f"f{i}": random.normal(size=2) for i in range(6)}, random.normal(size=(2, 2)))
