@@ -31,19 +31,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of each row, ``_row``, written so that it stays the same."""
+    path = f"{shared_folder(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least key."""
-    classes = cut(near_duplicates(docs).select("doc_id", "kept"))
-    copies = cut(classes.where("not kept").select("doc_id").distinct())
-    kept = join_small(docs, copies, "doc_id", "left_anti", 16)
-    repeated = classes.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each class of near-duplicates, the one with the least key.
+
+    Rows without a key come after all keys; repeated keys and rows without one are told
+    apart by their texts alone.
+    """
+    rows = numbered(docs)
+    classes = cut(near_duplicates(rows, key="_row").select("_row", "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "_row"))
+    kept = classes.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    copies = cut(classes.select("_row").join(kept, "_row", "left_anti"))
+    return join_small(rows, copies, "_row", "left_anti", 16).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    repeats = cut(mix_sources(docs).where("doc_id is not null and repeats > 0").select("doc_id", F.col("repeats").alias("_repeats")))
-    taken = join_small(docs, repeats, "doc_id", "inner", 24)
+    """Each document as many times as the mix takes it, with or without a key."""
+    rows = numbered(docs)
+    mixed = mix_sources(rows, key="_row", draw_by="doc_id")
+    repeats = cut(mixed.where("repeats > 0").select("_row", F.col("repeats").alias("_repeats")))
+    taken = join_small(rows, repeats, "_row", "inner", 24)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
 
 

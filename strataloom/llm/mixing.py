@@ -132,16 +132,18 @@ def mix_sources(
     weights: Sequence[int] = (1, 2, 3),
     max_repeats: int = 3,
     seed: int = 0,
+    draw_by: str | None = None,
 ) -> DataFrame:
     """(key, source, size, source_size, target, repeats, taken) for every document.
 
     A size is a text's number of words, 0 for null.  ``taken`` is size times repeats and
     a source's taken words sum to its target as nearly as its lengths allow.  Which
-    documents of a length are taken once more is drawn by ``seed``; ties between rows
-    with the same key follow the order of the input's rows.  A null source is a source.
+    documents of a length are taken once more is drawn by ``seed`` from ``draw_by``, the
+    key unless given; ties follow the order of the input's rows.  A null source is a source.
     """
+    by = F.col(draw_by or key).alias("by")
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size"))
+    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size"), by)
     sized = cut(sized.withColumn("row", F.monotonically_increasing_id()))
     lengths = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = cut(source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeats))
@@ -156,8 +158,8 @@ def mix_sources(
     kind = sized.schema["source"].dataType.simpleString()
     plan = cut(known.groupBy("source").applyInPandas(fit, f"source {kind}, size long, n long, source_size long, target double, rounds long, extra long"))
 
-    planned = sized.join(plan, same(sized, plan, ["source", "size"])).select(sized["id"], sized["row"], sized["source"], sized["size"], "n", "source_size", "target", "rounds", "extra")
-    draw = F.xxhash64(F.lit(seed), "id")
+    planned = sized.join(plan, same(sized, plan, ["source", "size"])).select(sized["id"], sized["row"], sized["source"], sized["size"], "by", "n", "source_size", "target", "rounds", "extra")
+    draw = F.xxhash64(F.lit(seed), "by")
     part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), F.pmod(draw, F.floor(F.col("n") / RANKED_ROWS) + 1))
     planned = cut(planned.withColumn("draw", draw).withColumn("part", part))
     some = planned.where("part is not null")

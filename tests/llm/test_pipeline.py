@@ -65,6 +65,16 @@ def test_stages_with_null_rows(spark):
         stage(spark, odd, folder()).collect()
 
 
+def test_rows_without_or_with_repeated_keys(spark):
+    rows = [(None, "alpha beta gamma", "en", "a", 16), (None, "one two three four", "en", "a", 18), (7, "red green blue", "en", "a", 14), (7, "north south east", "en", "a", 16), (8, "Red green blue", "en", "a", 14)]
+    odd = spark.createDataFrame(rows, KIND)
+    kept = P.near_stage(spark, odd, folder()).collect()
+    assert sorted(r.text for r in kept) == sorted(t for _, t, *_ in rows if not t.startswith("Red"))
+    # a single source takes all of itself
+    mixed = P.mixing_stage(spark, odd, folder()).collect()
+    assert sorted(r.text for r in mixed) == sorted(t for _, t, *_ in rows)
+
+
 def test_run(spark, docs):
     got = P.run(spark, folder()).collect()
     assert got and {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
