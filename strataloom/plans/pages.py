@@ -115,8 +115,8 @@ def image_candidates(spark, sf_dir):
 
 def css_tokens(spark, sf_dir):
     """Declarations in style elements, ranked by use."""
-    style = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style>", 1)
-    rows = pages(spark, sf_dir).select(F.explode(F.regexp_extract_all(style, F.lit(r"([a-z-]+:[^;{}]+)"), F.lit(1))).alias("token"))
+    styles = pages(spark, sf_dir).select(F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<style[^>]*>(.*?)</style>"), F.lit(1))).alias("style"))
+    rows = styles.select(F.explode(F.regexp_extract_all("style", F.lit(r"([a-z-]+:[^;{}]+)"), F.lit(1))).alias("token"))
     return rows.groupBy("token").agg(F.count("*").alias("uses"))
 
 

@@ -104,3 +104,11 @@ def test_streams(spark, tmp_path):
     assert sorted(r.k for r in ran("seen", lambda s: stateful.first_seen(s, "k", "t"), "append")) == ["a", "b"]
     assert sorted((r.k, r.n) for r in ran("counted", lambda s: stateful.windowed_counts(s, "t", "k", "1 hour", "10 minutes"), "complete")) == [("a", 1), ("a", 2), ("b", 1)]
     assert sorted((r.k, r.n) for r in ran("met", lambda s: stateful.sessions(s, "t", "k", "30 minutes", "10 minutes"), "complete")) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_css_tokens_of_all_style_elements(spark, tmp_path):
+    from strataloom.plans.pages import css_tokens
+
+    page = "<style>a{color:red;}</style><p>x</p><STYLE media=print>b{color:red;top:0}</STYLE>"
+    spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(tuple(r) for r in css_tokens(spark, str(tmp_path)).collect()) == [("color:red", 2), ("top:0", 1)]
