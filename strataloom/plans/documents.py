@@ -137,6 +137,24 @@ def graph_neighbors(spark, sf_dir):
     return G.neighbours(edges, ids)
 
 
+def entity_agg_all(spark, sf_dir):
+    """All entity types; RE2 lacks what technical terms need, so this and the next three have no SQL twin."""
+    return G.entity_totals(records(spark, sf_dir)).select("type", "normalized", "mentions", "documents")
+
+
+def graph_edges_all(spark, sf_dir):
+    return G.edges(records(spark, sf_dir))
+
+
+def graph_cooccurrence_all(spark, sf_dir):
+    return G.cooccurrences(records(spark, sf_dir))
+
+
+def graph_neighbors_all(spark, sf_dir):
+    edges = G.edges(records(spark, sf_dir)).where("kind = 'mentions'")
+    return G.neighbours(edges, edges.select(F.col("to_id").alias("id")).distinct())
+
+
 def lexical_search(spark, sf_dir):
     rows = S.lexical_search(records(spark, sf_dir), "apache license version", 20)
     return rows.select(F.col("rank").cast("long"), "doc_id", "score", F.array_join("terms", ",").alias("terms"), "excerpt")
@@ -282,6 +300,7 @@ def semantic_diff_counts(spark, sf_dir):
 QUERIES = [
     content_ids, exact_dedup, dedup_stats, pack_score, citations_scored, citations_declared, record_ordinals, corpus_manifest, context_lock, token_metrics, extraction_quality,
     boilerplate_hits, clean_passages, title_slugs, keyword_totals, injection_labels, sensitive_counts, privacy_flags, entity_agg, graph_edges, graph_cooccurrence, graph_neighbors,
+    entity_agg_all, graph_edges_all, graph_cooccurrence_all, graph_neighbors_all,
     lexical_search, bm25_search, grep_lines, grep_context, line_slices, key_excerpts, evidence_span_locate, basis_report, rank_metrics, export_rows, contract_issues, ci_gates,
     snapshot_diff, snapshot_sets, clause_diff, health_delta, change_classify, monitor_counts, semantic_diff_counts,
 ]

@@ -112,3 +112,18 @@ def test_css_tokens_of_all_style_elements(spark, tmp_path):
     page = "<style>a{color:red;}</style><p>x</p><STYLE media=print>b{color:red;top:0}</STYLE>"
     spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(tuple(r) for r in css_tokens(spark, str(tmp_path)).collect()) == [("color:red", 2), ("top:0", 1)]
+
+
+def test_graph_of_all_entity_types(spark, tmp_path):
+    from strataloom.plans import registry
+
+    texts = {1: "ann@a.org wrote the Fast SQL Engine on 2020-01-02", 2: "version 1.2.3 of the JSON docs", 3: None}
+    spark.createDataFrame([(k, "s", "en", t) for k, t in texts.items()], "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: sorted(tuple(r) for r in registry.queries()[n](spark, str(tmp_path)).collect()) for n in ("entity_agg_all", "graph_edges_all", "graph_cooccurrence_all", "graph_neighbors_all")}
+    named = {1: [("date", "2020-01-02"), ("email", "ann@a.org"), ("technical_term", "fast sql engine")], 2: [("technical_term", "json"), ("version", "1.2.3")]}
+    ids = {k: [f"entity:{t}:{v}" for t, v in pairs] for k, pairs in named.items()}
+    mentions = [(f"document:{k}", x) for k, xs in ids.items() for x in xs]
+    assert got["entity_agg_all"] == sorted((t, v, 1, 1) for pairs in named.values() for t, v in pairs)
+    assert got["graph_edges_all"] == sorted([("mentions", d, x) for d, x in mentions] + [("contains_document", "source:s", f"document:{k}") for k in texts])
+    assert got["graph_cooccurrence_all"] == sorted((a, b, 1) for xs in ids.values() for i, a in enumerate(xs) for b in xs[i + 1 :])
+    assert got["graph_neighbors_all"] == sorted((x, "mentions", d) for d, x in mentions)
