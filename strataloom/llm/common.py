@@ -17,16 +17,21 @@ from pyspark.sql import functions as F
 
 #: Largest table, in estimated bytes, that a join may send to every executor.
 BROADCAST_BYTES = 24 << 20
-#: Bytes of text that a task hashes at once; a longer single text is taken alone.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a task hashes at once.
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IDENTITY = np.arange(256, dtype=np.uint8)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE_CODES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = 0x9E3779B97F4A7C15
+#: Strings are hashed as polynomials modulo this prime at two points drawn at random, so
+#: two different strings of n bytes agree with a probability of (n / 2**31)**2 at most.
+_PRIME = (1 << 31) - 1
+_random = np.random.Generator(np.random.PCG64(20240229))
+_POINTS = [int(x) for x in _random.integers(1 << 24, _PRIME, 2)]
+_BYTE_CODES = _random.integers(1, _PRIME, 256, dtype=np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -73,40 +78,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers below 2**63 modulo the prime, by adding up their 31-bit digits."""
+    p = np.uint64(_PRIME)
+    x = (x & p) + (x >> np.uint64(31))
+    x = (x & p) + (x >> np.uint64(31))
+    return np.where(x >= p, x - p, x)
+
+
+def _powers(point: int, n: int) -> np.ndarray:
     out = np.ones(max(n, 1), np.uint64)
     done = 1
     while done < n:
         step = min(done, n - done)
-        out[done : done + step] = out[:step] * np.uint64(pow(base, done, 1 << 64))
+        out[done : done + step] = _reduce(out[:step] * np.uint64(pow(point, done, _PRIME)))
         done += step
-    return out
+    return out.astype(np.uint32)
 
 
 class Powers:
-    """Powers of the hash base and of its inverse, grown on demand and kept per worker."""
+    """Powers of the hash points and of their inverses, grown on demand and kept per worker."""
 
-    up = _powers(_BASE, 1)
-    down = _powers(pow(_BASE, -1, 1 << 64), 1)
+    up = [_powers(x, 1) for x in _POINTS]
+    down = [_powers(pow(x, -1, _PRIME), 1) for x in _POINTS]
 
     @classmethod
     def upto(cls, n: int) -> None:
-        if len(cls.up) < n:
-            cls.up, cls.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        if len(cls.up[0]) < n:
+            cls.up = [_powers(x, n) for x in _POINTS]
+            cls.down = [_powers(pow(x, -1, _PRIME), n) for x in _POINTS]
 
 
-def prefix_hashes(data: np.ndarray, fold: np.ndarray = _IDENTITY) -> np.ndarray:
-    """``out[i]`` hashes ``data[:i]`` so that any range's hash follows by subtraction."""
+def prefix_hashes(data: np.ndarray, fold: np.ndarray = _IDENTITY) -> list[np.ndarray]:
+    """Hashes of all ``data[:i]``, at both points, from which any range's hash follows."""
     Powers.upto(len(data) + 1)
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(_BYTE_CODES[fold[data]] * Powers.up[: len(data)], out=out[1:])
+    codes = _BYTE_CODES[fold[data]]
+    out = []
+    for up in Powers.up:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_reduce(codes * up[: len(data)]), out=sums[1:])
+        out.append(_reduce(sums))
     return out
 
 
-def range_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def range_hashes(prefix: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ``data[start:end]``, independent of where the ranges lie."""
-    return mix((prefix[ends] - prefix[starts]) * Powers.down[starts] + (ends - starts).astype(np.uint64))
+    first, second = (_reduce((h[ends] + np.uint64(_PRIME) - h[starts]) * down[starts]) for h, down in zip(prefix, Powers.down, strict=True))
+    return _finish(first, second, (ends - starts).astype(np.uint64))
+
+
+def _finish(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix((first << np.uint64(31) | second) + length * np.uint64(_ODD))
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -150,6 +172,56 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return range_hashes(prefix_hashes(data, _LOWER if lower else _IDENTITY), starts, ends), first
 
 
+def long_text_words(data: np.ndarray, lower: bool, limit: int = SLICE_BYTES) -> np.ndarray:
+    """The word hashes of one text of any length, taken ``limit`` bytes at a time.
+
+    A word that lies across pieces is put together from the sums of its parts.
+    """
+    fold = _LOWER if lower else _IDENTITY
+    out: list[np.ndarray] = []
+    sums, length = [0, 0], 0  # of a word that goes on in the next piece
+
+    def close() -> None:
+        nonlocal sums, length
+        if length:
+            out.append(_finish(*(np.array([x], np.uint64) for x in (*sums, length))))
+        sums, length = [0, 0], 0
+
+    for at in range(0, len(data), limit):
+        piece = data[at : at + limit]
+        starts, ends, _ = words_of(piece, np.array([0, len(piece)]))
+        prefix = prefix_hashes(piece, fold)
+        if length and (not len(starts) or starts[0] > 0):
+            close()
+        whole = np.ones(len(starts), bool)
+        for i in ([0] if len(starts) and (length or ends[0] == len(piece)) else []) + ([len(starts) - 1] if len(starts) > 1 and ends[-1] == len(piece) else []):
+            if i:
+                close()
+                out.append(range_hashes(prefix, starts[whole][:-1], ends[whole][:-1]))
+                whole[:] = False
+            shift, size = length, int(ends[i] - starts[i])
+            parts = [int(_reduce((h[ends[i : i + 1]] + np.uint64(_PRIME) - h[starts[i : i + 1]]) * down[starts[i : i + 1]])[0]) for h, down in zip(prefix, Powers.down, strict=True)]
+            sums = [(s + pow(x, shift, _PRIME) * p) % _PRIME for s, x, p in zip(sums, _POINTS, parts, strict=True)]
+            length += size
+            whole[i] = False
+            if ends[i] < len(piece):
+                close()
+        out.append(range_hashes(prefix, starts[whole], ends[whole]))
+    close()
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def text_words(column: pa.Array, lower: bool) -> Iterator[np.ndarray]:
+    """The word hashes of each text of a column, in order."""
+    for _, data, offsets in text_slices(column):
+        if len(offsets) == 2:
+            yield long_text_words(data, lower)
+            continue
+        hashes, first = word_hashes(data, offsets, lower)
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            yield hashes[a:b]
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of ``width`` words; fewer words make one window, none make none."""
     if not len(words):
@@ -158,5 +230,5 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = mix(out + words[k : k + n]) * np.uint64(_BASE)
+        out = mix(out + words[k : k + n]) * np.uint64(_ODD)
     return mix(out)

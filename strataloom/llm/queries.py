@@ -25,7 +25,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

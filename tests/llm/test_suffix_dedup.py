@@ -60,6 +60,42 @@ def test_repeated_rows_null_keys_and_clashing_names(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def thue_morse(steps):
+    word = "0"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("01", "10"))
+    return word
+
+
+def test_thue_morse_texts(spark):
+    # polynomial hashes modulo a power of two take such words for equal
+    word = thue_morse(10)
+    other = word.translate(str.maketrans("01", "10"))
+    rng = random.Random(8)
+    noise = ["".join(rng.choices("xyz", k=120)) for _ in range(4)]
+    rows = [(1, noise[0] + word + noise[1]), (2, noise[2] + other + noise[3])]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_text_longer_than_a_slice(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choices("abcdefghij é\n", k=700_000))
+    far = base[:1000] + "".join(rng.choices("uvwxyz", k=300_000)) + base[400_000:401_500] + base[261_000:263_500] + base[:399]
+    rows = [(1, base), (2, far), (3, base[262_000:262_500])]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_one_passage_in_many_surroundings(spark):
+    # one core with more neighbours than a part of the sort holds
+    rng = random.Random(10)
+    passage = "".join(rng.choices("abcdef", k=460))
+    rows = []
+    for i in range(900):
+        a, b = rng.randrange(60), rng.randrange(60)
+        rows.append((i, "".join(rng.choices("uvw", k=rng.randrange(4))) + passage[a : 460 - b] + "".join(rng.choices("xy", k=rng.randrange(5)))))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_suffix_ranks_order_all_suffixes(spark):
     rng = random.Random(7)
     strings = [rng.choices(range(3), k=rng.randint(1, 14)) for _ in range(40)] + [[1, 1, 1, 1, 1, 1], [0], [0]]
