@@ -130,8 +130,8 @@ class Phrases:
         return range_hashes(self.prefix, self.low, self.high + self.length)
 
     def strings(self, i: int) -> np.ndarray:
-        """Hashes of the phrases that the windows of cut i decide, at least one."""
-        ends = self.cuts[self.at[i] : self.chain[i] + 1]
+        """Hashes of the parts of the core of cut i: before the cut, its phrases, what is left."""
+        ends = np.concatenate([self.core[0][i : i + 1], self.cuts[self.at[i] : self.chain[i] + 1], self.core[1][i : i + 1]])
         return range_hashes(self.prefix, ends[:-1], ends[1:]) >> np.uint64(1)
 
 
@@ -517,5 +517,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     ranges = cut(ranges.groupBy("id", "ver").agg(F.collect_list(F.struct("low", "high")).alias("ranges")))
     joined = join_keys(source, ranges, 24, "left").select("key", "text", "ranges")
     kind = docs.schema[key].dataType.simpleString()
+    # what is small without the texts is computed here, in small batches
     out = joined.mapInArrow(_strip(with_text), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("key", key)
+    return (out if with_text else cut(out)).withColumnRenamed("key", key)
