@@ -87,6 +87,24 @@ def join_small(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes:
     return left.join(right, on, how)
 
 
+#: Rows of one key from which on a join treats the key as hot.
+HOT_ROWS = 1024
+
+
+def join_sized(rows: DataFrame, side: DataFrame, key: str, row_bytes: int = 64) -> DataFrame:
+    """Inner join with ``side``, one row a key with the number of its ``rows`` in ``size``.
+
+    Hot keys are broadcast, so their rows stay where they are; the others are shuffled.
+    Fewer than the sum of sizes over T keys have more than T rows, so the choice of T
+    bounds the broadcast.  ``side`` has to be cut, as it is summed here.
+    """
+    total = side.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    least = max(HOT_ROWS, total * row_bytes // BROADCAST_BYTES)
+    hot = F.broadcast(side.where(F.col("size") > least))
+    cold = rows.join(hot.select(key), key, "left_anti").join(side.where(F.col("size") <= least), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of unsigned 64-bit numbers whose output bits all depend on all input bits."""
     x = x ^ (x >> np.uint64(30))

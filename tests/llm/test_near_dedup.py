@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from strataloom.llm import common, near_dedup
 from strataloom.llm.near_dedup import BINS, near_duplicates, signature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,11 +83,57 @@ def test_link_among_many_bucket_mates(spark):
     for key, places in ((300, (50, 150)), (301, (20, 100, 180))):
         rows.append((key, " ".join(f"x{key}_{i}" if i in places else w for i, w in enumerate(base))))
     wanted = brute(rows)
-    assert [k for k, *_, kept in wanted if not kept] == [301]
+    assert [c for k, _, c, _ in wanted if k == 301] == [300]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == wanted
 
 
+def test_bridges_between_groups_of_near_copies(spark):
+    # two cores with copies round each; only one pair joins the groups, and shares buckets with all
+    rng = random.Random(12)
+    rows = []
+    for group in range(4):
+        core = [f"g{group}w{i}" for i in range(400)]
+        other = [w if i < 346 else f"g{group}o{i}" for i, w in enumerate(core)]
+        for side, base in enumerate((core, other)):
+            for copy in range(25):
+                own = list(base)
+                for place in rng.sample(range(0, 340), 2):
+                    own[place] = f"g{group}s{side}c{copy}p{place}"
+                rows.append((len(rows), " ".join(own)))
+        near = [w if i < 346 or i > 352 else f"g{group}o{i}" for i, w in enumerate(core)]
+        rows.append((len(rows), " ".join(near)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_words_that_simple_hashes_take_for_equal(spark):
+    word = "0"
+    for _ in range(10):
+        word += word.translate(str.maketrans("01", "10"))
+    rows = [(1, word), (2, word.translate(str.maketrans("01", "10")))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
+def test_large_stars_and_hot_buckets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    rows = planted(3, groups=3, copies=60) + [(5000 + i, "same text for all of these rows here") for i in range(40)]
+    rows += [(6000 + i, None) for i in range(20)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
+def test_texts_longer_than_a_slice(spark):
+    rng = random.Random(13)
+    words = [f"long{rng.randrange(10**6)}" for _ in range(150_000)]
+    other = [w if i % 40 else w + "x" for i, w in enumerate(words)]
+    rows = [(3, " ".join(words)), (2, " ".join(other)), (1, "y" * 2_500_000), (4, "Y" * 2_500_000)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+
+
 def test_whole_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
