@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import cut
+from strataloom.llm.common import cut, join_sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Bits of a packed key that hold a window's place; texts beyond 2^24 words keep 40 hash bits.
-_PLACE_BITS = 24
+#: Bits of a packed key that hold a window's place.  The other 48 are of its hash, and
+#: longer texts sort structs with all 64, so both find the same windows.
+PLACE_BITS = 16
 
 
-def _repeat_words(words: Column, packed: Column) -> Column:
+def _repeat_words(words: Column, keys: Column, hashed: Callable[[Column], Column], place: Callable[[Column], Column]) -> Column:
     """Words that lie in a window which another window of the text equals.
 
-    ``packed`` holds hash and place of each window, sorted, so equal windows are
-    neighbours; the words themselves confirm that neighbours are equal.
+    ``keys`` hold hash and place of each window, sorted, so equal windows are neighbours;
+    the words themselves confirm that neighbours are equal.
     """
-    place = lambda key: key.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
     window = lambda key: F.slice(words, place(key) + 1, 3)
-    top = lambda key: F.shiftright(key, _PLACE_BITS)
 
     def same(i: Column, j: Column) -> Column:
-        a, b = F.get(packed, i), F.get(packed, j)
-        return F.when((j >= 0) & (j < F.size(packed)) & (top(a) == top(b)), window(a) == window(b)).otherwise(F.lit(False))
+        a, b = F.get(keys, i), F.get(keys, j)
+        return F.when((j >= 0) & (j < F.size(keys)) & (hashed(a) == hashed(b)), window(a) == window(b)).otherwise(F.lit(False))
 
-    places = F.array_sort(F.transform(F.filter(packed, lambda key, i: same(i, i - 1) | same(i, i + 1)), place))
-    total = F.aggregate(
+    places = F.array_sort(F.transform(F.filter(keys, lambda key, i: same(i, i - 1) | same(i, i + 1)), place))
+    return F.aggregate(
         places,
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda acc, at: F.struct((acc["n"] + F.least(F.lit(3), at - acc["last"])).alias("n"), at.alias("last")),
         lambda acc: acc["n"].cast("bigint"),
     )
-    return total
 
 
 def text_figures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -58,14 +58,16 @@ def text_figures(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
     ).drop("_lines")
-    windows = F.transform(
-        F.slice(F.col("_hashes"), F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0))),
-        lambda h, i: F.shiftleft(F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2)), _PLACE_BITS).bitwiseOR(i.cast("bigint")),
-    )
-    packed = counted.select("*", F.sort_array(windows).alias("_packed")).drop("_hashes")
-    return packed.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words(F.col("_words"), F.col("_packed")).alias("n_repeat_words")
-    )
+    short = F.col("n_words") <= 1 << PLACE_BITS
+    firsts = F.slice(F.col("_hashes"), F.lit(1), F.greatest(F.size("_hashes") - 2, F.lit(0)))
+    window = lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))
+    packed = F.transform(firsts, lambda h, i: F.shiftleft(window(h, i), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+    whole_keys = F.transform(firsts, lambda h, i: F.struct(window(h, i).alias("h"), i.alias("i")))
+    keyed = counted.select("*", F.when(short, F.sort_array(packed)).alias("_packed"), F.when(~short, F.sort_array(whole_keys)).alias("_keys")).drop("_hashes")
+    low = F.lit((1 << PLACE_BITS) - 1)
+    few = _repeat_words(F.col("_words"), F.col("_packed"), lambda key: F.shiftright(key, PLACE_BITS), lambda key: key.bitwiseAND(low).cast("int"))
+    many = _repeat_words(F.col("_words"), F.col("_keys"), lambda key: key["h"], lambda key: key["i"])
+    return keyed.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.when(short, few).otherwise(many).alias("n_repeat_words"))
 
 
 def host_verdicts(figures: DataFrame, host: str = "source", failed: str = "base_failed", max_rate: float = 0.5) -> DataFrame:
@@ -108,7 +110,9 @@ def apply_rules(
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     figures = cut(text_figures(docs, [key, host], text).withColumn("base_failed", failed))
-    verdicts = host_verdicts(figures, host, max_rate=max_rate).select("host", "host_ok")
-    verdicts = verdicts.withColumnRenamed("host", "_host")
-    joined = figures.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_ok", F.lit(True))).drop("_host", "host_ok")
+    # a struct is a key that is not null even where the host is
+    whose = F.struct(F.col(host).alias("host")).alias("_host")
+    verdicts = host_verdicts(figures, host, max_rate=max_rate)
+    verdicts = cut(verdicts.select(F.struct("host").alias("_host"), "host_ok", F.col("n_docs").alias("size")))
+    joined = join_sized(figures.select("*", whose), verdicts, "_host", 256)
+    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_host", "host_ok", "size")

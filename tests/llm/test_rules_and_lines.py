@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from strataloom.llm import common, host_rules, line_dedup
 from strataloom.llm import queries as Q
 from strataloom.llm.host_rules import apply_rules, host_verdicts
 from strataloom.llm.line_dedup import drop_boilerplate
@@ -36,6 +37,14 @@ def test_figures_of_odd_texts(spark):
     assert got == {i: figures(t) for i, t in enumerate(texts)}
 
 
+def test_figures_where_places_need_more_bits(spark, monkeypatch):
+    monkeypatch.setattr(host_rules, "PLACE_BITS", 3)
+    texts = ["a b c", "a b c a b c a b c", "p q r s p q r t p q r s u", "x " * 100, None]
+    docs = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in apply_rules(docs).collect()}
+    assert got == {i: figures(t) for i, t in enumerate(texts)}
+
+
 def test_host_verdict_reaches_its_documents(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "short text"
     rows = [(i, "mill", bad if i < 95 else good) for i in range(100)] + [(100 + i, "press", good) for i in range(100)] + [(300, None, good), (300, None, good), (None, "press", bad)]
@@ -79,5 +88,14 @@ def test_lines_against_plain_python(spark):
     assert sorted(((r.doc_id, r.text, r.lines_total, r.lines_dropped) for r in got.collect()), key=repr) == stripped(rows)
 
 
+def test_lines_where_the_table_is_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = [(i, "big" if i % 3 else None, f"own {i}\nmenu\nfooter {i % 2}") for i in range(90)] + [(100, "small", "menu\nonly"), (101, "small", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in drop_boilerplate(docs).collect()}
+    assert got == {i: f"own {i}" for i in range(90)} | {100: "menu\nonly", 101: ""}
+
+
 def test_lines_of_an_empty_table(spark):
     assert drop_boilerplate(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
