@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.common import cut
+from strataloom.llm.common import BROADCAST_BYTES, cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Budget that dynamic programming closes exactly; what lies above goes by whole lengths.
@@ -139,12 +139,13 @@ def mix_sources(
     A size is a text's number of words, 0 for null.  ``taken`` is size times repeats and
     a source's taken words sum to its target as nearly as its lengths allow.  Which
     documents of a length are taken once more is drawn by ``seed`` from ``draw_by``, the
-    key unless given; ties follow the order of the input's rows.  A null source is a source.
+    key unless given; ties follow a hash of the text, so that runs agree however the rows are
+    dealt.  A null source is a source; an empty table gives an empty result, repeated rows
+    are documents of their own, and other columns play no part, whatever their names.
     """
     by = F.col(draw_by or key).alias("by")
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size"), by)
-    sized = cut(sized.withColumn("row", F.monotonically_increasing_id()))
+    sized = cut(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), words.alias("size"), by, F.xxhash64(text).alias("row")))
     lengths = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = cut(source_targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeats))
     same = lambda a, b, names: [a[c].eqNullSafe(b[c]) for c in names]
@@ -158,7 +159,9 @@ def mix_sources(
     kind = sized.schema["source"].dataType.simpleString()
     plan = cut(known.groupBy("source").applyInPandas(fit, f"source {kind}, size long, n long, source_size long, target double, rounds long, extra long"))
 
-    planned = sized.join(plan, same(sized, plan, ["source", "size"])).select(sized["id"], sized["row"], sized["source"], sized["size"], "by", "n", "source_size", "target", "rounds", "extra")
+    # a row per source and length; where they are few, a frequent length needs no shuffle
+    side = F.broadcast(plan) if plan.count() * 96 <= BROADCAST_BYTES else plan
+    planned = sized.join(side, same(sized, plan, ["source", "size"])).select(sized["id"], sized["row"], sized["source"], sized["size"], "by", "n", "source_size", "target", "rounds", "extra")
     draw = F.xxhash64(F.lit(seed), "by")
     part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("n")), F.pmod(draw, F.floor(F.col("n") / RANKED_ROWS) + 1))
     planned = cut(planned.withColumn("draw", draw).withColumn("part", part))
