@@ -36,6 +36,8 @@ from strataloom.llm.common import BROADCAST_BYTES, cut, join_small, mix, prefix_
 GRAM, REACH = 16, 96
 #: Bytes of text at a time; the arrays over them take about a hundred times as much.
 SLICE = 1 << 18
+#: Suffixes, about, that a task merges.
+MERGED = 100_000
 #: A window's bytes beside its core, on both sides together.
 BESIDE = REACH - 1
 
@@ -233,7 +235,8 @@ def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
     columns = ["kind", "s", "s1", "s2", "own", "r1", "r2"]
     known = cut(known.select("sid", "idx", "kind", *triple, unless(0, F.col("own")).alias("own"), unless(2, ahead("own", 1)).alias("r1"), unless(1, ahead("own", 2)).alias("r2")))
     # ranges by the first three symbols, so a frequent one alone does not fill a task
-    ranges = known.select(*columns).distinct().repartitionByRange(*triple).withColumn("part", F.spark_partition_id())
+    parts = known.count() // MERGED + 1
+    ranges = known.select(*columns).distinct().repartitionByRange(parts, *triple).withColumn("part", F.spark_partition_id())
     merged = cut(ranges.mapInPandas(_merge, "kind int, s long, s1 long, s2 long, own long, r1 long, r2 long, part int, place long"))
     merged = merged.select(*columns, (F.shiftleft(F.col("part").cast("long"), 40) + F.col("place")).alias("rank"))
     return known.join(merged, columns).select("sid", "idx", "rank")
