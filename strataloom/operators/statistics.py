@@ -21,11 +21,18 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
     return F.when(total > 0, low), F.when(total > 0, high)
 
 
-def nearest_rank(values: Column, q: float) -> Column:
-    """The value at place ceil(q n) of an array in order, at least the first; null if it is empty."""
-    ordered = F.array_sort(values)
-    place = F.greatest(F.ceil(F.lit(q) * F.size(ordered)), F.lit(1)).cast("int")
-    return F.when(F.size(ordered) > 0, F.get(ordered, place - 1))
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """The values at places ceil(q n) of each group in order, at least the first; null without values.
+
+    Rows become counts of distinct values before anything is shuffled, and the running
+    count over these finds the places, so no group is gathered.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    order = Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first())
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.select(*by, value, upto.alias("_upto"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    found = [F.min(F.when((F.col("_all") > 0) & (F.col("_upto") >= F.greatest(F.ceil(F.lit(q) * F.col("_all")), F.lit(1))), F.col(value))).alias(name) for name, q in ranks.items()]
+    return placed.groupBy(*by).agg(*found)
 
 
 def exact_mcnemar(a_only: Column, b_only: Column) -> Column:

@@ -31,8 +31,8 @@ def pass_all_trials(spark, sf_dir):
 
 
 def nearest_rank_percentiles(spark, sf_dir):
-    lengths = table(spark, sf_dir, "documents").groupBy("lang").agg(F.collect_list(F.length("text")).alias("n"))
-    return lengths.select("lang", S.nearest_rank(F.col("n"), 0.5).alias("p50"), S.nearest_rank(F.col("n"), 0.95).alias("p95"))
+    lengths = table(spark, sf_dir, "documents").select("lang", F.length("text").alias("n"))
+    return S.nearest_ranks(lengths, ["lang"], "n", {"p50": 0.5, "p95": 0.95})
 
 
 def column_profiles(spark, sf_dir):

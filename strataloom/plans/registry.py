@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import analytics, documents, extraction, pages
+from strataloom.plans import analytics, documents, extraction, pages, runs
 
-MODULES = (pages, documents, analytics, extraction)
+MODULES = (pages, documents, analytics, extraction, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
