@@ -175,11 +175,16 @@ def quality_score(m: dict[str, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.round(F.least(total, F.lit(1.0)), 4))
 
 
-def screen_families(text: Column) -> tuple[Column, Column]:
-    """(sorted families, number of spans) of text that tries to instruct an agent."""
-    families = F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(f)) for _, f, p in SCREENS]))
-    spans = reduce(lambda a, s: a + F.regexp_count(text, F.lit(s[2])), SCREENS, F.lit(0))
-    return F.array_sort(F.array_distinct(families)), spans.cast("long")
+def screen_counts(text: Column) -> Column:
+    """Matches of each screening pattern, in order; each pattern reads the text once."""
+    return F.array(*[F.regexp_count(text, F.lit(p)) for _, _, p in SCREENS])
+
+
+def screen_families(counts: Column) -> tuple[Column, Column]:
+    """(sorted families, number of spans) of the ``screen_counts`` of a text, kept in a column."""
+    families = F.array_compact(F.array(*[F.when(F.get(counts, F.lit(i)) > 0, F.lit(f)) for i, (_, f, _) in enumerate(SCREENS)]))
+    spans = F.aggregate(counts, F.lit(0).cast("long"), lambda total, n: total + n)
+    return F.array_sort(F.array_distinct(families)), spans
 
 
 def classes_by_terms(haystack: Column, terms: dict[str, list[str]], fallback: str) -> Column:

@@ -102,15 +102,15 @@ def keyword_totals(spark, sf_dir):
 
 
 def injection_labels(spark, sf_dir):
-    families, spans = T.screen_families(F.col("content"))
-    rows = records(spark, sf_dir).select("doc_id", F.array_join(families, ",").alias("families"), spans.alias("spans"))
+    families, spans = T.screen_families(F.col("counts"))
+    rows = records(spark, sf_dir).select("doc_id", T.screen_counts(F.col("content")).alias("counts")).select("doc_id", F.array_join(families, ",").alias("families"), spans.alias("spans"))
     return rows.select("doc_id", F.when(F.col("spans") > 0, "suspicious").otherwise("clean").alias("label"), "families", "spans")
 
 
 def sensitive_counts(spark, sf_dir):
     """Matches of each redaction rule, before overlaps are resolved."""
-    text = F.col("content")
-    one = records(spark, sf_dir).agg(*[x for n, p in T.REDACTIONS for x in (F.sum(F.regexp_count(text, F.lit(p))).alias(n + "_hits"), F.sum(text.rlike(p).cast("long")).alias(n + "_docs"))])
+    counts = records(spark, sf_dir).select(*[F.regexp_count("content", F.lit(p)).cast("long").alias(n) for n, p in T.REDACTIONS])
+    one = counts.agg(*[x for n, _ in T.REDACTIONS for x in (F.sum(n).alias(n + "_hits"), F.sum((F.col(n) > 0).cast("long")).alias(n + "_docs"))])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n + "_docs").alias("docs"), F.col(n + "_hits").alias("hits")) for n, _ in T.REDACTIONS])).alias("r")).select("r.*")
 
 
