@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strataloom.functions import text as T
+from strataloom.lineage import cut
 
 
 def lexical_score(terms: Sequence[str], phrase: str, title: Column, heading: Column, url: Column, content: Column) -> tuple[Column, Column]:
-    """(score, matched terms): capped hits by field, a bonus for the phrase and for several terms."""
-    fields = [(F.lower(T.clean_passage(title)), 3, 8, 20), (F.lower(T.clean_passage(heading)), 3, 6, 14), (F.lower(url), 3, 3, 0), (F.lower(T.clean_passage(content)), 10, 2, 10)]
+    """(score, matched terms): capped hits by field, a bonus for the phrase and for several terms.
+
+    The fields come folded and cleaned, as columns, since every term reads them again.
+    """
+    fields = [(title, 3, 8, 20), (heading, 3, 6, 14), (url, 3, 3, 0), (content, 10, 2, 10)]
     score, matched = F.lit(0), []
     for term in sorted(set(terms)):
         hits = [T.term_count(f, term) for f, _, _, _ in fields]
@@ -30,8 +34,10 @@ def lexical_search(records: DataFrame, query: str, k: int = 10) -> DataFrame:
     """The ``k`` best records for a query: rank, doc_id, score, terms and excerpt."""
     phrase = query.strip().lower()
     terms = sorted({w for w in phrase.split() if len(w) >= 3})
-    score, found = lexical_score(terms, phrase, F.col("title"), F.lit(""), F.col("url"), F.col("content"))
-    hits = records.select("doc_id", "url", score.cast("long").alias("score"), found.alias("terms"), "content").where("score > 0")
+    folded = {c: F.lower(T.clean_passage(F.col(c))) for c in ("title", "content")}
+    fields = records.select("doc_id", "url", "content", folded["title"].alias("_title"), F.lower("url").alias("_url"), folded["content"].alias("_content"))
+    score, found = lexical_score(terms, phrase, F.col("_title"), F.lit(""), F.col("_url"), F.col("_content"))
+    hits = fields.select("doc_id", "url", score.cast("long").alias("score"), found.alias("terms"), "content").where("score > 0")
     best = hits.orderBy(F.col("score").desc(), "url").limit(k)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "url")))
     return ranked.select("rank", "doc_id", "score", "terms", T.excerpt(T.clean_passage(F.col("content")), [*terms, phrase]).alias("excerpt"))
@@ -48,9 +54,9 @@ def bm25(records: DataFrame, terms: Sequence[str], k: int = 10, k1: float = 1.2,
 
     Only the query's terms are counted, in one pass over the text, with the lengths.
     """
-    words = T.keywords(F.col("content"))
-    frequency = lambda term: F.size(F.filter(words, lambda w: w == term))
-    counted = records.select("doc_id", F.size(words).alias("dl"), *[frequency(t).alias(f"t{i}") for i, t in enumerate(terms)])
+    frequency = lambda term: F.size(F.filter("words", lambda w: w == term))
+    worded = records.select("doc_id", T.keywords(F.col("content")).alias("words"))
+    counted = cut(worded.select("doc_id", F.size("words").alias("dl"), *[frequency(t).alias(f"t{i}") for i, t in enumerate(terms)]))
     shape = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(F.when(F.col(f"t{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
     # one row
     joined = counted.join(F.broadcast(shape))
