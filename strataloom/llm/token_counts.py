@@ -59,6 +59,19 @@ class TokenTree:
         parts = pre.split(text)
         self._lay_out(parts, pre.counts(parts))
 
+    @classmethod
+    def stored(cls, text: str, chars: list[int], tokens: list[int], pre: PreTokens) -> TokenTree:
+        """A tree from what was kept of it: nothing is split and nothing encoded."""
+        tree = cls.__new__(cls)
+        tree.pre = pre
+        ends = list(accumulate(chars))
+        tree._lay_out([text[end - n : end] for end, n in zip(ends, chars, strict=True)], tokens)
+        return tree
+
+    def kept(self) -> tuple[str, list[int], list[int]]:
+        """The text, and the length and tokens of each pre-token."""
+        return self.text(), [len(p) for leaf in self.parts for p in leaf], [c for leaf in self.counts for c in leaf]
+
     def _lay_out(self, parts: list[str], counts: list[int]) -> None:
         self.parts = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
         self.counts = [counts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
@@ -169,6 +182,59 @@ def gather_edits(edits: DataFrame, key: str = "doc_id") -> DataFrame:
     return edits.groupBy(key).agg(F.transform(ordered, lambda e: F.struct(e["start"].alias("start"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted"))).alias("edits"))
 
 
+_TREE = "text string, chars array<int>, tokens array<int>"
+
+
+def _tree_columns(trees: list[TokenTree]) -> list[pa.Array]:
+    texts, chars, tokens = zip(*(t.kept() for t in trees), strict=True) if trees else ((), (), ())
+    return [pa.array(texts, pa.string()), pa.array(chars, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int32()))]
+
+
+def token_trees(docs: DataFrame, tokenizer_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, text, chars, tokens): each document's tree as a row to be written and edited later.
+
+    ``chars`` and ``tokens`` are the lengths and counts of the pre-tokens in order; sums
+    over them are cheap, splitting and encoding is what a stored row saves.  A null text
+    is empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = PreTokens(tokenizer_path, pattern)
+        for batch in batches:
+            trees = [TokenTree(value or "", pre) for value in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), *_tree_columns(trees)], ["key", "text", "chars", "tokens"])
+
+    source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, {_TREE}").withColumnRenamed("key", key)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, tokenizer_path: str, pattern: str, key: str = "doc_id") -> DataFrame:
+    """(key, text, chars, tokens, n_tokens, n_recounted) of the stored ``trees`` after ``edits``.
+
+    ``edits`` (key, seq, start, deleted, inserted) are one row each.  Only the regions
+    they touch are split and encoded; documents without edits come back as they are and
+    pass no Python.
+    """
+    kind = trees.schema[key].dataType.simpleString()
+    changed = trees.select(F.col(key).alias("key"), "text", "chars", "tokens").join(gather_edits(edits, key).withColumnRenamed(key, "key"), "key", "left")
+    n_tokens = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, n: total + n)
+    same = changed.where("edits is null").select("key", "text", "chars", "tokens", n_tokens.alias("n_tokens"), F.lit(0).cast("long").alias("n_recounted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = PreTokens(tokenizer_path, pattern)
+        for batch in batches:
+            rows, recounted = [], []
+            for text, chars, tokens, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                tree = TokenTree.stored(text, chars, tokens, pre)
+                recounted.append(sum(tree.edit(c["start"] or 0, c["deleted"] or 0, c["inserted"] or "") for c in changes))
+                rows.append(tree)
+            columns = [*_tree_columns(rows), pa.array([t.n_tokens for t in rows], pa.int64()), pa.array(recounted, pa.int64())]
+            yield pa.record_batch([batch.column(0), *columns], ["key", "text", "chars", "tokens", "n_tokens", "n_recounted"])
+
+    edited = changed.where("edits is not null").mapInArrow(run, f"key {kind}, {_TREE}, n_tokens long, n_recounted long")
+    return same.unionByName(edited).withColumnRenamed("key", key)
+
+
 def edited_counts(docs: DataFrame, tokenizer_path: str, pattern: str, key: str = "doc_id", text: str = "text", edits: str = "edits") -> DataFrame:
     """Token counts of every document before and after its ``edits``.
 
@@ -177,8 +243,10 @@ def edited_counts(docs: DataFrame, tokenizer_path: str, pattern: str, key: str =
     A null or empty array edits nothing, a null text is empty, and null fields of an edit
     count as 0 or empty.  Result: key, n_chars, n_pretokens and n_tokens as they were,
     n_edits, n_recounted (pre-tokens split anew by edits), and n_chars_edited,
-    n_pretokens_edited and n_tokens_edited.  Repeated rows count alike; other columns
-    play no part.
+    n_pretokens_edited and n_tokens_edited.  Repeated rows count alike, an empty table
+    gives an empty result, and other columns play no part, whatever their names.
+    ``pattern`` may not look further than ``LOOKAHEAD`` characters past a pre-token's end.
+    Trees are built in passing; ``token_trees`` and ``edit_trees`` keep them between runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import random
 import public_tokenizers
 import pytest
 
-from strataloom.llm.token_counts import LEAF, PreTokens, TokenTree, edited_counts, gather_edits
+from strataloom.llm.token_counts import LEAF, PreTokens, TokenTree, edit_trees, edited_counts, gather_edits, token_trees
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 ALPHABET = ["a", "Bc", "the ", " word", "'s", "'", "ll", " ", "  ", "\n", "\n\n", "\t", "12", "3", ".", "!?", "é", "日本", "😀", " 's", "\r\n"]
@@ -59,6 +59,26 @@ def test_table(spark):
     assert edited_counts(docs.limit(0), PATH, PATTERN).count() == 0
 
 
+def test_stored_trees_follow_edits_in_several_runs(spark, tmp_path):
+    rng = random.Random(11)
+    texts = {k: "".join(rng.choices(ALPHABET, k=rng.choice([0, 5, 400]))) for k in range(12)} | {12: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    size = PreTokens(PATH, PATTERN).encoding.encode_ordinary
+    trees, now = token_trees(docs, PATH, PATTERN), {k: t or "" for k, t in texts.items()}
+    for run in range(2):
+        trees.select("doc_id", "text", "chars", "tokens").write.parquet(f"{tmp_path}/{run}")
+        rows = []
+        for key in range(0, 12, 2):
+            for seq in range(3):
+                at, gone, new = rng.randrange(len(now[key]) + 1), rng.randrange(4), "".join(rng.choices(ALPHABET, k=3))
+                rows.append((key, seq, at, gone, new))
+                now[key] = now[key][:at] + new + now[key][at + gone :]
+        edits = spark.createDataFrame(rows, "doc_id long, seq long, start long, deleted long, inserted string")
+        trees = edit_trees(spark.read.parquet(f"{tmp_path}/{run}"), edits, PATH, PATTERN)
+        got = {r.doc_id: (r.text, r.n_tokens, sum(r.tokens), r.n_recounted > 0) for r in trees.collect()}
+        assert got == {k: (t, len(size(t)), len(size(t)), k < 12 and k % 2 == 0) for k, t in now.items()}
+
+
 def test_gathered_edits_follow_their_sequence(spark):
     edits = spark.createDataFrame([(1, 2, 0, 1, "b"), (1, 1, 0, 0, "a"), (2, 1, 5, 0, "c")], "doc_id long, seq long, start long, deleted long, inserted string")
     got = {r.doc_id: [e.inserted for e in r.edits] for r in gather_edits(edits).collect()}
