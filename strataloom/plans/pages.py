@@ -201,6 +201,6 @@ SQL = {
     "link_extract": f"WITH {_LINK_ROWS} SELECT page_id, pos, href, {_RESOLVED} AS resolved FROM links",
     "site_graph": f"WITH {_LINK_ROWS}, r AS (SELECT {sql_host('url')} AS from_host, {_RESOLVED} AS resolved FROM links) SELECT from_host, {sql_host('resolved')} AS to_host, count(*) AS links, count(DISTINCT resolved) AS targets FROM r GROUP BY 1, 2",
     "image_candidates": f"SELECT src, min(page_id) AS page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, {quoted('(?i)' + H.IMAGE)}, 1)) AS src FROM pages) GROUP BY src",
-    "css_tokens": "SELECT token, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1), '([a-z-]+:[^;{}]+)', 1)) AS token FROM pages) GROUP BY token",
+    "css_tokens": "SELECT token, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(style, '([a-z-]+:[^;{}]+)', 1)) AS token FROM (SELECT unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS style FROM pages)) GROUP BY token",
     "optout_meta": "WITH v(id, content) AS (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in OPT_OUTS) + "), t AS (SELECT id, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(content), '[,\\s]+'), lambda x: x <> ''), lambda x: split_part(x, ':', 1))) AS d FROM v) SELECT id, list_has_any(d, ['noai', 'noimageai']) AS blocked, array_to_string(list_sort(list_intersect(d, ['noai', 'noimageai', 'noindex', 'none'])), ',') AS strict_matched FROM t",
 }
