@@ -277,6 +277,18 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(full), pa.array(counts[full])], ["cell", "n"])
 
 
+#: Cells whose counts are packed in one row.
+_PACKED = 1 << 16
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """The counts of one range of cells as bytes."""
+    cell, n = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+    counts = np.zeros(_PACKED, np.uint32)
+    counts[cell % _PACKED] = np.minimum(n, 2**32 - 1)
+    return pa.table({"block": pa.array([int(cell[0]) // _PACKED], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def _rarest(counts, percent: int):
     """For each set a row for each of its rarest shingles that may be a bucket, with its place."""
 
@@ -306,10 +318,11 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
     texts that are near enough share one of their first shingles, as many as may be
     missing and one more; the order decides how large buckets get, not what is found.
     """
-    cells = cut(sets.select("shingles").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")))
-    table = cells.toPandas()  # at most CELLS rows, whatever the input
+    cells = sets.select("shingles").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    packed = cut(cells.groupBy(F.expr(f"cell div {_PACKED}")).applyInArrow(_pack, "block long, counts binary"))
     counts = np.zeros(CELLS, np.uint32)
-    counts[table["cell"].to_numpy()] = np.minimum(table["n"].to_numpy(), 2**32 - 1)
+    for row in packed.collect():  # four bytes a cell, whatever the input
+        counts[row["block"] * _PACKED :][:_PACKED] = np.frombuffer(row["counts"], np.uint32)
     shared = sets.sparkSession.sparkContext.broadcast(counts)
     return cut(sets.select("rep", "shingles").mapInArrow(_rarest(shared, percent), "rep long, n long, at long, bucket long"))
 
