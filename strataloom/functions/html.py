@@ -28,8 +28,12 @@ FRAMEWORKS = [
 AI_OPT_OUT = ["noai", "noimageai"]
 NO_INDEX = ["noindex", "none"]
 SKIPPED_LINKS = ["#", "javascript:", "mailto:", "tel:", "data:"]
-HREF = r'<a\s[^>]*?href="([^"]*)"'
-IMAGE = r'<img\s[^>]*?src="([^"]*)"'
+#: An attribute before the one that is looked for, and a value in any of its three forms.
+_BEFORE = r"""(?:[^\s"'>=]+\s*=\s*(?:"[^"]*"|'[^']*')\s*|[^\s"'>=]+(?:\s*=\s*[^\s"'>]+)?\s+)*?"""
+_VALUE = r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+HREF = r"(?i)<a\s+" + _BEFORE + "href" + _VALUE
+IMAGE = r"(?i)<img\s+" + _BEFORE + "src" + _VALUE
+QUOTES = r"""^["']|["']$"""
 
 
 def access_wall(page: Column) -> Column:
@@ -82,9 +86,14 @@ def opt_out(content: Column, strict: bool = False) -> Column:
     return F.array_sort(F.array_intersect(tokens, F.array(*map(F.lit, AI_OPT_OUT + NO_INDEX * strict))))
 
 
+def attribute_values(page: Column, pattern: str) -> Column:
+    """Values that HREF or IMAGE finds, in page order, without their quotes."""
+    return F.transform(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)), lambda v: F.regexp_replace(v, QUOTES, ""))
+
+
 def links(page: Column) -> Column:
     """href values of anchors in page order, duplicates kept, without those that lead nowhere."""
-    return F.filter(F.regexp_extract_all(page, F.lit("(?i)" + HREF), F.lit(1)), lambda h: (h != "") & ~any_of([F.lower(h).startswith(s) for s in SKIPPED_LINKS]))
+    return F.filter(attribute_values(page, HREF), lambda h: (h != "") & ~any_of([F.lower(h).startswith(s) for s in SKIPPED_LINKS]))
 
 
 def resolved(href: Column, base: Column) -> Column:

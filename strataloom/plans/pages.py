@@ -97,19 +97,24 @@ def page_metadata(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", H.element_text(F.col("html"), "title").alias("title"), H.element_text(F.col("html"), "h1").alias("h1"))
 
 
-def link_extract(spark, sf_dir):
+def _link_rows(spark, sf_dir):
     rows = pages(spark, sf_dir).select("page_id", "url", F.posexplode(H.links(F.col("html"))).alias("pos", "href"))
-    return rows.select("page_id", F.col("pos").cast("long"), "href", H.resolved(H.unescaped(F.col("href")), F.col("url")).alias("resolved"))
+    return rows.withColumn("resolved", H.resolved(H.unescaped(F.col("href")), F.col("url")))
+
+
+def link_extract(spark, sf_dir):
+    rows = _link_rows(spark, sf_dir)
+    return rows.select("page_id", F.col("pos").cast("long"), "href", "resolved")
 
 
 def site_graph(spark, sf_dir):
     """Links between pages' hosts and where they lead, counted."""
-    rows = link_extract(spark, sf_dir).join(pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("from_host")), "page_id")
-    return rows.groupBy("from_host", U.host(F.col("resolved")).alias("to_host")).agg(F.count("*").alias("links"), F.countDistinct("resolved").alias("targets"))
+    rows = _link_rows(spark, sf_dir)
+    return rows.groupBy(U.host(F.col("url")).alias("from_host"), U.host(F.col("resolved")).alias("to_host")).agg(F.count("*").alias("links"), F.countDistinct("resolved").alias("targets"))
 
 
 def image_candidates(spark, sf_dir):
-    rows = pages(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?i)" + H.IMAGE), F.lit(1))).alias("src"))
+    rows = pages(spark, sf_dir).select("page_id", F.explode(H.attribute_values(F.col("html"), H.IMAGE)).alias("src"))
     return rows.groupBy("src").agg(F.min("page_id").alias("page_id"))
 
 
@@ -157,7 +162,8 @@ r AS (SELECT page_id, url, greatest(0, least(100, 50 + {total}))::BIGINT AS scor
 
 
 _ROLE_P = f"lower(CASE WHEN {sql_path('url')} = '' THEN '/' ELSE {sql_path('url')} END)"
-_LINKS = f"list_filter(regexp_extract_all(html, {quoted('(?i)' + H.HREF)}, 1), lambda h: h <> '' AND NOT ({' OR '.join(f'starts_with(lower(h), {quoted(s)})' for s in H.SKIPPED_LINKS)}))"
+_VALUES = lambda pattern: f"list_transform(regexp_extract_all(html, {quoted(pattern)}, 1), lambda v: regexp_replace(v, {quoted(H.QUOTES)}, '', 'g'))"
+_LINKS = f"list_filter({_VALUES(H.HREF)}, lambda h: h <> '' AND NOT ({' OR '.join(f'starts_with(lower(h), {quoted(s)})' for s in H.SKIPPED_LINKS)}))"
 _UNESC = "replace(replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
 _BARE = f"regexp_replace({_UNESC}, '#.*$', '')"
 _RESOLVED = f"""CASE WHEN regexp_matches({_BARE}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {_BARE} WHEN starts_with({_BARE}, '//') THEN {sql_scheme('url')} || ':' || {_BARE}
@@ -200,7 +206,7 @@ SQL = {
     "page_metadata": f"SELECT page_id, {_TITLE.format(t='title')} AS title, {_TITLE.format(t='h1')} AS h1 FROM pages",
     "link_extract": f"WITH {_LINK_ROWS} SELECT page_id, pos, href, {_RESOLVED} AS resolved FROM links",
     "site_graph": f"WITH {_LINK_ROWS}, r AS (SELECT {sql_host('url')} AS from_host, {_RESOLVED} AS resolved FROM links) SELECT from_host, {sql_host('resolved')} AS to_host, count(*) AS links, count(DISTINCT resolved) AS targets FROM r GROUP BY 1, 2",
-    "image_candidates": f"SELECT src, min(page_id) AS page_id FROM (SELECT page_id, unnest(regexp_extract_all(html, {quoted('(?i)' + H.IMAGE)}, 1)) AS src FROM pages) GROUP BY src",
+    "image_candidates": f"SELECT src, min(page_id) AS page_id FROM (SELECT page_id, unnest({_VALUES(H.IMAGE)}) AS src FROM pages) GROUP BY src",
     "css_tokens": "SELECT token, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(style, '([a-z-]+:[^;{}]+)', 1)) AS token FROM (SELECT unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS style FROM pages)) GROUP BY token",
     "optout_meta": "WITH v(id, content) AS (VALUES " + ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in OPT_OUTS) + "), t AS (SELECT id, list_distinct(list_transform(list_filter(regexp_split_to_array(lower(content), '[,\\s]+'), lambda x: x <> ''), lambda x: split_part(x, ':', 1))) AS d FROM v) SELECT id, list_has_any(d, ['noai', 'noimageai']) AS blocked, array_to_string(list_sort(list_intersect(d, ['noai', 'noimageai', 'noindex', 'none'])), ',') AS strict_matched FROM t",
 }

@@ -6,6 +6,7 @@ import urllib.robotparser
 
 from pyspark.sql import functions as F
 
+from strataloom.functions import html as H
 from strataloom.functions.text import REDACTIONS
 from strataloom.operators import robots as R
 from strataloom.operators.chunks import chunk_documents, chunks
@@ -79,3 +80,10 @@ def test_markdown():
     out = markdown_of(page, "https://e.example/d/")
     assert out.startswith("## A **b**\n\nx  \ny & [link](https://e.example/z)\n\n- one\n- two\n\n```py\na\n\nb\n```")
     assert "| h | i |\n| --- | --- |\n| 1 | 2 |" in out and "no" not in out.split() and markdown_of("", "") == ""
+
+
+def test_attributes_in_three_forms(spark):
+    page = """<a href="/a">1</a><A class='x' HREF='/b'>2</A><a data-href=/no target=_blank href=/c>3</a><a title="a href=no" href = "/d">4</a><a hidden href="it's">5</a><a href=''>6</a><a name=x>7</a><a href='#top'>8</a><img alt=y src=/i.png><img src='/j.png'/>"""
+    row = spark.createDataFrame([(page,)], "html string").select(H.links(F.col("html")).alias("links"), H.attribute_values(F.col("html"), H.IMAGE).alias("images")).first()
+    assert row.links == ["/a", "/b", "/c", "/d", "it's"]
+    assert row.images == ["/i.png", "/j.png"]
