@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataloom.operators import evaluation as E
+from strataloom.operators import freshness as A
 from strataloom.operators import frontier as R
 from strataloom.operators import graph as G
 from strataloom.operators import search as Q
@@ -106,13 +107,37 @@ def title_query_list(spark, sf_dir):
     return rows.groupBy(F.lower("query").alias("folded")).agg(F.min(F.struct("doc_id", "query")).alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.query").alias("query"))
 
 
-QUERIES = [mcnemar_holm, label_agreement, run_stats, vector_topk, reachable_parts, frontier_latest, frontier_pending, progress_counters, regression_classes, best_runs, library_counts, document_page, substring_grep, title_query_list]
+AS_OF, MAX_AGE_DAYS = "2024-03-01 00:00:00", 45.0
+
+
+def _entries(spark, sf_dir):
+    """Events as a manifest: ids are documents, users urls.  Only purchases hold a time of their own, and
+    no record of an error has one, so that errors take the time of their user's first other event."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), F.col("user_id").alias("url"), "event_type", "ts")
+    manifest = events.select("document_id", "url", F.when(F.col("event_type") == "purchase", F.col("ts")).alias("fetched_at"))
+    records = events.select("document_id", "url", F.when(F.col("event_type") != "error", F.col("ts")).alias("fetched_at"))
+    return A.with_fallback_times(manifest, records.withColumn("seq", F.col("document_id")), "seq")
+
+
+def stale_sources(spark, sf_dir):
+    return A.stale(_entries(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), MAX_AGE_DAYS).select("document_id", "url", "age_days")
+
+
+def staleness_report(spark, sf_dir):
+    return A.staleness(_entries(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), MAX_AGE_DAYS)
+
+
+QUERIES = [mcnemar_holm, label_agreement, run_stats, vector_topk, reachable_parts, frontier_latest, frontier_pending, progress_counters, regression_classes, best_runs, library_counts, document_page, substring_grep, title_query_list, stale_sources, staleness_report]
 
 _TRIALS = "WITH trials AS (SELECT l_orderkey AS cs, l_returnflag || l_linestatus AS system, (l_discount <= 0.08)::INT AS ok FROM lineitem)"
 _LOG = "WITH log AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'processing' WHEN 'view' THEN 'queued' WHEN 'purchase' THEN 'saved' WHEN 'signup' THEN 'skipped' ELSE 'failed' END AS state FROM events)"
 _EVENTS = "WITH t AS (SELECT event_type AS system, user_id AS case_id, event_id, value, value >= 50 AS passed FROM events)"
 _Z = repr(S.Z95)
 
+_AGES = f"""WITH known AS (SELECT user_id, arg_min(ts, event_id) AS first_ts FROM events WHERE event_type <> 'error' GROUP BY 1),
+      e AS (SELECT event_id AS document_id, e.user_id AS url, CASE WHEN event_type <> 'error' THEN ts ELSE first_ts END AS ts FROM events e LEFT JOIN known k ON e.user_id = k.user_id),
+      a AS (SELECT *, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 86400000000.0 AS age FROM e)"""
+
 SQL = {
     "mcnemar_holm": f"""{_TRIALS}, o AS (SELECT cs, system, min(ok) AS ok FROM trials GROUP BY 1, 2),
       c AS (SELECT x.system AS a, y.system AS b, sum(x.ok * (1 - y.ok))::BIGINT AS a_only, sum((1 - x.ok) * y.ok)::BIGINT AS b_only FROM o x JOIN o y ON x.cs = y.cs AND x.system < y.system GROUP BY 1, 2),
@@ -148,4 +173,6 @@ SQL = {
     "substring_grep": "SELECT doc_id, source, length(text) AS n FROM documents WHERE contains(lower(text), 'the ')",
     "title_query_list": """WITH q AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ') AS query FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lower(query) ORDER BY doc_id) AS r FROM q WHERE query <> '')
       SELECT doc_id, query FROM r WHERE r = 1""",
+    "stale_sources": f"{_AGES} SELECT document_id, url, round(age, 2) AS age_days FROM a WHERE age > {MAX_AGE_DAYS}",
+    "staleness_report": f"{_AGES} SELECT count(*) AS entries, count(*) FILTER (age > {MAX_AGE_DAYS}) AS stale_count, count(*) FILTER (age IS NULL) AS unknown_age_count, round(max(age), 2) AS oldest_days, round(min(age), 2) AS freshest_days FROM a",
 }
