@@ -16,6 +16,7 @@ from strataloom.llm.mixing import mix_sources
 from strataloom.llm.near_dedup import near_duplicates
 from strataloom.llm.packing import pack_documents
 from strataloom.llm.quality import quality_scores
+from strataloom.llm.resampling import resample
 from strataloom.llm.suffix_dedup import remove_repeats
 from strataloom.llm.token_counts import edited_counts
 
@@ -72,8 +73,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup, op12_importance_resampling)}
 
 
 OP3_SQL = r"""
