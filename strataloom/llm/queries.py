@@ -18,6 +18,7 @@ from strataloom.llm.packing import pack_documents
 from strataloom.llm.quality import quality_scores
 from strataloom.llm.resampling import resample
 from strataloom.llm.suffix_dedup import remove_repeats
+from strataloom.llm.token_alignment import align_tokenizers
 from strataloom.llm.token_counts import edited_counts
 
 
@@ -73,12 +74,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup, op11_tokenizer_alignment, op12_importance_resampling)}
 
 
 OP3_SQL = r"""
