@@ -20,6 +20,7 @@ from strataloom.llm.resampling import resample
 from strataloom.llm.suffix_dedup import remove_repeats
 from strataloom.llm.token_alignment import align_tokenizers
 from strataloom.llm.token_counts import edited_counts
+from strataloom.llm.vector_dedup import vector_duplicates
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup, op11_tokenizer_alignment, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_suffix_dedup, op3_quality_rules, op4_line_dedup, op5_token_counts, op6_quality_classifier, op7_source_mixing, op8_hnsw_neighbours, op9_best_fit_packing, op10_near_dedup, op11_tokenizer_alignment, op12_importance_resampling, op13_embedding_near_dedup)}
 
 
 OP3_SQL = r"""
