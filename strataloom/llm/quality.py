@@ -59,7 +59,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if found:
             x = np.concatenate(found)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.record_batch([batch.column(0), lists], ["id", "x"])
+            yield pa.record_batch([batch.column(0), *batch.columns[2:], lists], ["id", *batch.schema.names[2:], "x"])
 
 
 @dataclass
@@ -133,8 +133,8 @@ def _sample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.where(F.pmod(draw, F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(draw, *rows.columns).limit(TRAIN_ROWS)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """(key, held_out, score, predicted) for every document.
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, row: str | None = None) -> DataFrame:
+    """(key, held_out, score, predicted) for every document, and ``row`` if a column is named that tells rows apart.
 
     Only labels outside fold 0 are used: positives teach, and the share of positives
     among them estimates the class prior.  All documents are the unlabelled rows.  Both
@@ -143,7 +143,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     scores are 0.5.  Repeated rows score alike; a null key is scored and not held out.
     """
     kind = docs.schema[key].dataType.simpleString()
-    rows = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_features, f"id {kind}, x array<float>"))
+    own, own_kind = ([row], f"{row} {docs.schema[row].dataType.simpleString()}, ") if row else ([], "")
+    rows = cut(docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *own).mapInArrow(_features, f"id {kind}, {own_kind}x array<float>"))
     known = labels.select(F.col(key).alias("id"), F.col(label).alias("label")).where(fold(F.col("id")) != 0).where("label is not null")
     n_known, n_positive, n_rows = *known.agg(F.count("*"), F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0))).first(), rows.count()
     net = None
@@ -158,9 +159,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            x = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
             s = np.full(batch.num_rows, 0.5) if net is None else net.score(x.astype(np.float64))
-            yield pa.record_batch([batch.column(0), pa.array(s)], ["id", "score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(s)], [*batch.schema.names[:-1], "score"])
 
-    scored = rows.mapInArrow(score, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(key), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(score, f"id {kind}, {own_kind}score double")
+    return scored.select(*own, F.col("id").alias(key), F.coalesce(fold(F.col("id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

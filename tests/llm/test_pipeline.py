@@ -59,10 +59,35 @@ def test_mixing_stage_repeats_documents(spark, docs):
     assert counts and max(counts.values()) <= 3
 
 
-def test_stages_with_null_rows(spark):
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words here", "en", "a", 15), (None, "no key", "de", None, 6)], KIND)
-    for _, stage in P.STAGES:
-        stage(spark, odd, folder()).collect()
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing names: what each stage keeps."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "some words here", "en", "a", 15), (None, "no key", "de", None, 6), (5, long, "en", "b", len(long)), (3, "some words here", "en", "a", 15)]
+    rows = [(*r, 100 + i, 7, 8, "mine") for i, r in enumerate(rows)]
+    odd = spark.createDataFrame(rows, f"{KIND}, _row long, _repeats int, _copy int, lines_total string")
+    everything = sorted(rows, key=repr)
+    got = {name: sorted(map(tuple, stage(spark, odd, folder()).collect()), key=repr) for name, stage in P.STAGES[:-1]}
+    assert set(got["quality classifier"]) <= set(everything)
+    lines = [(k, t or "", lang, source, len(t or ""), *rest) for k, t, lang, source, _, *rest in rows]
+    assert got["line dedup"] == sorted(lines, key=repr)
+    # the repeated row, whichever of the two; texts without words stay
+    assert [r[:5] for r in got["minhash near-dedup"]] == sorted({r[:5] for r in rows}, key=repr) and set(got["minhash near-dedup"]) <= set(everything)
+    assert {r[0] for r in got["source mixing"]} >= {3, None} and set(got["source mixing"]) <= set(everything)
+    packed = P.packing_stage(spark, odd, folder()).collect()
+    assert len({(r.doc_id, r.piece) for r in packed if r.doc_id == 5}) > 60 and sorted(r.length for r in packed if r.doc_id in (1, 2)) == [1, 1]
+
+
+def test_quality_judges_rows_not_keys(spark):
+    larger = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{larger}/documents.parquet")
+    kept = [r.text for r in P.quality_stage(spark, docs, larger).collect()]
+    rejected = sorted({r.text for r in docs.collect()} - set(kept))
+    assert rejected and len(set(kept)) > len(rejected)
+    # good texts under the keys of rejected ones, and rows without a key
+    bad_key = docs.where(docs["text"] == rejected[0]).first().doc_id
+    more = spark.createDataFrame([(bad_key, kept[0], "en", "a", 1), (None, kept[1], "en", "a", 1), (None, rejected[1], "en", "a", 1)], KIND)
+    again = [r.text for r in P.quality_stage(spark, docs.unionByName(more), larger).collect()]
+    assert [again.count(t) - kept.count(t) for t in (kept[0], kept[1], rejected[1])] == [1, 1, 0]
 
 
 def test_rows_without_or_with_repeated_keys(spark):
