@@ -16,53 +16,72 @@ from strataloom.llm.packing import pack_documents
 from strataloom.llm.quality import quality_scores
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(_row, doc): ``docs`` as structs with a number each, written so that the numbers stay the same.
+
+    A struct keeps the documents' columns apart from the stages' own, whatever their names.
+    """
+    path = f"{shared_folder(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("doc")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject; one without a key is kept."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = cut(scores.where("predicted = 0 and doc_id is not null").select("doc_id").distinct())
-    return join_small(docs, rejected, "doc_id", "left_anti", 16)
+    """Documents that the classifier does not reject, each judged by its own text.
 
+    Rows that share a key, or have none, are judged apart; repeated rows alike.  An empty
+    or null text is judged like any other; an empty table stays empty.
+    """
+    rows = numbered(docs)
+    scores = quality_scores(rows.select("_row", "doc.doc_id", "doc.text"), table(spark, sf_dir, "labels"), row="_row")
+    rejected = cut(scores.where("predicted = 0").select("_row"))
+    return join_small(rows, rejected, "_row", "left_anti", 16).select("doc.*")
 
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines, none dropped."""
-    rows = drop_boilerplate(docs)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their site's boilerplate lines, none dropped, repeated rows included.
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number of each row, ``_row``, written so that it stays the same."""
-    path = f"{shared_folder(docs.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    A null text becomes empty; an empty table stays empty.
+    """
+    others = F.struct(*(c for c in docs.columns if c != "text")).alias("doc")
+    rows = drop_boilerplate(docs.select(others, "text", "source"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*(own[c].alias(c) if c in own else F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least key.
 
     Rows without a key come after all keys; repeated keys and rows without one are told
-    apart by their texts alone.
+    apart by their texts alone, so that of repeated rows one stays.  Texts without words
+    are no duplicates; an empty table stays empty.
     """
     rows = numbered(docs)
-    classes = cut(near_duplicates(rows, key="_row").select("_row", "component_id"))
+    classes = cut(near_duplicates(rows.select("_row", "doc.text"), key="_row").select("_row", "component_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "_row"))
-    kept = classes.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    kept = classes.join(rows.select("_row", "doc.doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
     copies = cut(classes.select("_row").join(kept, "_row", "left_anti"))
-    return join_small(rows, copies, "_row", "left_anti", 16).select(*docs.columns)
+    return join_small(rows, copies, "_row", "left_anti", 16).select("doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, with or without a key."""
+    """Each document as many times as the mix takes it, with or without a key.
+
+    Ties are drawn by the key and then by the text; repeated rows are documents of their own;
+    a document without words is not taken.  An empty table stays empty.
+    """
     rows = numbered(docs)
-    mixed = mix_sources(rows, key="_row", draw_by="doc_id")
+    mixed = mix_sources(rows.select("_row", "doc.doc_id", "doc.text", "doc.source"), key="_row", draw_by="doc_id")
     repeats = cut(mixed.where("repeats > 0").select("_row", F.col("repeats").alias("_repeats")))
     taken = join_small(rows, repeats, "_row", "inner", 24)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select(*docs.columns)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("_repeats").cast("int")))).select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are packed as their end token alone, repeated rows as often as they occur.
+    """
     packed = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
