@@ -145,6 +145,31 @@ def without_frontmatter(text: Column) -> Column:
     return F.regexp_replace(text, r"\A---\n(?s:.*?)\n---\n", "")
 
 
+#: Character references that titles and texts are likely to hold; others stay as they are.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&copy;": "\u00a9", "&middot;": "\u00b7", "&ndash;": "\u2013", "&mdash;": "\u2014", "&hellip;": "\u2026"}
+
+
+def unescaped(text: Column) -> Column:
+    """Common character references decoded, ampersands last."""
+    for name, sign in REFERENCES.items():
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def clean_title(text: Column) -> Column:
+    """References decoded, comments dropped, white space folded."""
+    bare = F.regexp_replace(unescaped(text), r"(?s)<!--.*?-->", "")
+    return F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+def content_fingerprint(text: Column) -> Column:
+    """Digest of the lower-case text without comments, addresses alike and white space folded; empty if nothing is left."""
+    bare = F.regexp_replace(F.lower(unescaped(text)), r"(?s)<!--.*?-->", "")
+    bare = F.regexp_replace(bare, r"""https?://[^\s)>\]"']+""", "<url>")
+    bare = F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    return F.when(bare == "", "").otherwise(F.sha2(bare, 256))
+
+
 def needle_hits(text: Column, needle: str) -> Column:
     """Occurrences of a plain string, whatever the case, not overlapping."""
     low = F.lower(text)

@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from strataloom.functions import text as T
 from strataloom.functions import urls as U
 from strataloom.lineage import cut
+from strataloom.operators.joins import join_split
+from strataloom.operators.ordered import running_sums
 
 
 def corpus(documents: DataFrame) -> DataFrame:
@@ -39,13 +41,13 @@ def snapshots(documents: DataFrame, labels: DataFrame, benchmark: DataFrame) ->
 def duplicates(records: DataFrame, key: str = "doc_id", digest: Column | None = None) -> DataFrame:
     """(key, first_key): the first record with the same digest; a first record is its own.
 
-    The winner per digest is an aggregate, which combines before the shuffle, so a digest
-    that many records share does not gather them in one task.
+    The winner per digest is an aggregate, which combines before the shuffle, and records of a
+    digest that many share meet it where they are.
     """
     digest = F.col("content_hash") if digest is None else digest
     rows = records.select(F.col(key).alias("key"), digest.alias("digest"))
     first = rows.groupBy("digest").agg(F.min("key").alias("first_key"))
-    return rows.join(first, "digest").select(F.col("key").alias(key), "first_key")
+    return join_split(rows.where("digest is not null"), first, "digest", 160).select(F.col("key").alias(key), "first_key")
 
 
 def duplicate_stats(records: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
 
 def record_ordinals(records: DataFrame, group: str, order: str) -> DataFrame:
     """Each record's place within its url or source, as S{n}.{m} numbers use it."""
-    return records.withColumn("record_ordinal", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return running_sums(records, [group], [order], {"record_ordinal": F.lit(1)})
 
 
 def manifest(records: DataFrame, by: str = "source") -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from strataloom.operators.ordered import running_sums
 
 
 def latest_states(log: DataFrame, key: str, seq: str, state: str) -> DataFrame:
@@ -26,20 +27,27 @@ def pending(discovered: DataFrame, fetched: DataFrame, on: Sequence[str]) -> Dat
 
 
 def progress(log: DataFrame, run: str, seq: str, state: str) -> DataFrame:
-    """(run, seq, saved, skipped, failed, processed): counters after each row of a run."""
-    so_far = Window.partitionBy(run).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    counters = {name: F.sum((F.col(state) == name).cast("long")).over(so_far) for name in ("saved", "skipped", "failed")}
-    counted = log.select(run, seq, *(c.alias(name) for name, c in counters.items()))
-    return counted.withColumn("processed", F.col("saved") + F.col("skipped") + F.col("failed"))
+    """(run, seq, saved, skipped, failed, processed): counters after each row of a run; runs of any length are dealt over tasks."""
+    states = {name: F.coalesce(F.col(state) == name, F.lit(False)).cast("long") for name in ("saved", "skipped", "failed")}
+    counted = running_sums(log.select(run, seq, state), [run], [seq], states)
+    return counted.select(run, seq, *states, (F.col("saved") + F.col("skipped") + F.col("failed")).alias("processed"))
+
 
+def regression_class(before: Column, after: Column) -> Column:
+    """How a case changed between two runs, from structs (supported, passed) of it, null where a run lacks it.
 
-def regression_class(before: Column, after: Column, supported: Column) -> Column:
-    """How a case changed between two runs; the first that applies, unsupported cases before all."""
+    A case that the new run lacks is a regression, as a gate has to see it vanish; one that only the
+    new run has, or has support for, is judged by itself.
+    """
+    passed = lambda run: run["passed"]
     return (
-        F.when(~supported, "unsupported")
-        .when(before & ~after, "regression")
-        .when(~before & after, "improvement")
-        .when(~before & ~after, "persistent_gap")
+        F.when(after.isNull(), "regression")
+        .when(~after["supported"], "unsupported")
+        .when(before.isNull(), F.when(passed(after), "improvement").otherwise("persistent_gap"))
+        .when(~before["supported"], "improvement")
+        .when(passed(before) & ~passed(after), "regression")
+        .when(~passed(before) & passed(after), "improvement")
+        .when(~passed(after), "persistent_gap")
         .otherwise("unchanged")
     )
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import analytics, changes, documents, extraction, pages, runs
+from strataloom.plans import analytics, changes, documents, extraction, pages, project, runs
 
-MODULES = (pages, documents, analytics, extraction, runs, changes)
+MODULES = (pages, documents, analytics, extraction, runs, changes, project)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

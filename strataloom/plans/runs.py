@@ -59,10 +59,14 @@ def frontier_latest(spark, sf_dir):
     return R.latest_states(_log(spark, sf_dir), "user_id", "event_id", "state")
 
 
+SECOND_RUN = "1998-06-01"
+
+
 def frontier_pending(spark, sf_dir):
-    """Users with an event that were never saved."""
-    log = _log(spark, sf_dir)
-    return R.pending(log.select("user_id").distinct(), log.where("state = 'saved'"), ["user_id"])
+    """Pairs of part and supplier that were shipped in the first run and not yet in the second."""
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate")
+    late = F.col("l_shipdate") >= F.lit(SECOND_RUN).cast("timestamp")
+    return R.pending(items.where(~late).select("l_partkey", "l_suppkey").distinct(), items.where(late), ["l_partkey", "l_suppkey"])
 
 
 def progress_counters(spark, sf_dir):
@@ -70,13 +74,11 @@ def progress_counters(spark, sf_dir):
 
 
 def regression_classes(spark, sf_dir):
-    """Cases of the first and the second half of the events as two runs, by what became of them."""
-    events = E.trials(table(spark, sf_dir, "events"))
-    half = events.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").alias("half"))
-    runs = events.join(F.broadcast(half)).withColumn("late", F.col("event_id") > F.col("half"))  # one row
-    cases = runs.groupBy("system", "case_id").agg(F.min(F.when(~F.col("late"), F.col("passed"))).alias("before"), F.min(F.when(F.col("late"), F.col("passed"))).alias("after"))
-    known = F.col("before").isNotNull() & F.col("after").isNotNull()
-    return cases.select("system", "case_id", R.regression_class(F.coalesce("before", F.lit(False)), F.coalesce("after", F.lit(False)), known).alias("change"))
+    """Pairs of part and supplier as cases of two runs: unsupported if all was returned, passed if no discount was over 8 %."""
+    items = table(spark, sf_dir, "lineitem").withColumn("late", F.col("l_shipdate") >= F.lit(SECOND_RUN).cast("timestamp"))
+    run = F.struct(F.bool_or(F.col("l_returnflag") != "R").alias("supported"), F.bool_and(F.col("l_discount") <= 0.08).alias("passed"))
+    cases = items.groupBy("l_partkey", "l_suppkey", "late").agg(run.alias("run")).groupBy("l_partkey", "l_suppkey").pivot("late", [False, True]).agg(F.first("run"))
+    return cases.select("l_partkey", "l_suppkey", R.regression_class(F.col("false"), F.col("true")).alias("change"))
 
 
 def best_runs(spark, sf_dir):
@@ -161,12 +163,15 @@ SQL = {
     "reachable_parts": """WITH l AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), one AS (SELECT DISTINCT p FROM l WHERE s = 1), two AS (SELECT DISTINCT s FROM l JOIN one USING (p) WHERE s <> 1)
       SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT -1 - p, 1 FROM one UNION ALL SELECT s, 2 FROM two""",
     "frontier_latest": f"{_LOG} SELECT user_id, arg_max(state, event_id) AS state, count(*) FILTER (state = 'processing') AS attempts FROM log GROUP BY 1",
-    "frontier_pending": f"{_LOG} SELECT DISTINCT user_id FROM log WHERE user_id NOT IN (SELECT user_id FROM log WHERE state = 'saved')",
+    "frontier_pending": f"""SELECT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < '{SECOND_RUN}'
+      EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_shipdate >= '{SECOND_RUN}'""",
     "progress_counters": f"""{_LOG}, c AS (SELECT user_id, event_id, count(*) FILTER (state = 'saved') OVER w AS saved, count(*) FILTER (state = 'skipped') OVER w AS skipped, count(*) FILTER (state = 'failed') OVER w AS failed
       FROM log WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) SELECT *, saved + skipped + failed AS processed FROM c""",
-    "regression_classes": f"""{_EVENTS}, h AS (SELECT quantile_disc(event_id, 0.5) AS half FROM t),
-      c AS (SELECT system, case_id, min(passed) FILTER (event_id <= half) AS b, min(passed) FILTER (event_id > half) AS a FROM t, h GROUP BY 1, 2)
-      SELECT system, case_id, CASE WHEN b IS NULL OR a IS NULL THEN 'unsupported' WHEN b AND NOT a THEN 'regression' WHEN a AND NOT b THEN 'improvement' WHEN NOT a THEN 'persistent_gap' ELSE 'unchanged' END AS change FROM c""",
+    "regression_classes": f"""WITH c AS (SELECT l_partkey, l_suppkey, count(*) FILTER (NOT late) > 0 AS old, count(*) FILTER (late) > 0 AS new,
+        count(*) FILTER (NOT late AND l_returnflag <> 'R') > 0 AS b_ok, count(*) FILTER (late AND l_returnflag <> 'R') > 0 AS a_ok,
+        count(*) FILTER (NOT late AND l_discount > 0.08) = 0 AS b, count(*) FILTER (late AND l_discount > 0.08) = 0 AS a FROM (SELECT *, l_shipdate >= '{SECOND_RUN}' AS late FROM lineitem) GROUP BY 1, 2)
+      SELECT l_partkey, l_suppkey, CASE WHEN NOT new THEN 'regression' WHEN NOT a_ok THEN 'unsupported' WHEN NOT old THEN CASE WHEN a THEN 'improvement' ELSE 'persistent_gap' END
+        WHEN NOT b_ok THEN 'improvement' WHEN b AND NOT a THEN 'regression' WHEN NOT b AND a THEN 'improvement' WHEN NOT a THEN 'persistent_gap' ELSE 'unchanged' END AS change FROM c""",
     "best_runs": "SELECT user_id, value, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1",
     "library_counts": "SELECT coalesce(source, '') AS library, count(*) AS chunks FROM documents GROUP BY 1",
     "document_page": "SELECT doc_id, source, lang FROM documents ORDER BY doc_id LIMIT 20 OFFSET 20",

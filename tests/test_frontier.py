@@ -23,10 +23,16 @@ def test_progress(spark):
 
 
 def test_regression_class(spark):
-    rows = [(True, False, True), (False, True, True), (False, False, True), (True, True, True), (True, False, False)]
-    classes = R.regression_class(F.col("b"), F.col("a"), F.col("s")).alias("c")
-    got = [r.c for r in spark.createDataFrame(rows, "b boolean, a boolean, s boolean").coalesce(1).select(classes).collect()]
-    assert got == ["regression", "improvement", "persistent_gap", "unchanged", "unsupported"]
+    good, bad, off = (True, True), (True, False), (False, False)
+    rows = [
+        (good, None, "regression"), (bad, None, "regression"), (off, None, "regression"),
+        (None, good, "improvement"), (None, bad, "persistent_gap"), (None, off, "unsupported"),
+        (good, off, "unsupported"), (bad, off, "unsupported"), (off, good, "improvement"), (off, bad, "improvement"),
+        (good, bad, "regression"), (bad, good, "improvement"), (bad, bad, "persistent_gap"), (good, good, "unchanged"),
+    ]
+    run = "struct<supported:boolean,passed:boolean>"
+    got = spark.createDataFrame(rows, f"b {run}, a {run}, want string").select("want", R.regression_class(F.col("b"), F.col("a")).alias("c")).collect()
+    assert [r.c for r in got] == [r.want for r in got] and len(got) == len(rows)
 
 
 def test_best_per_target(spark):
