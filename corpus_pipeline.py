@@ -29,13 +29,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject, each judged by its own text.
 
-    Rows that share a key, or have none, are judged apart; repeated rows alike.  An empty
-    or null text is judged like any other; an empty table stays empty.
+    Scores depend on texts alone, so rejected texts, by their digests, tell which rows go,
+    whatever their keys.  An empty or null text is judged like any other; an empty table stays empty.
     """
-    rows = numbered(docs)
-    scores = quality_scores(rows.select("_row", "doc.doc_id", "doc.text"), table(spark, sf_dir, "labels"), row="_row")
-    rejected = cut(scores.where("predicted = 0").select("_row"))
-    return join_small(rows, rejected, "_row", "left_anti", 16).select("doc.*")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).alias("_text")
+    scores = quality_scores(docs.select("doc_id", "text", digest), table(spark, sf_dir, "labels"), row="_text")
+    rejected = cut(scores.where("predicted = 0").select("_text").distinct())
+    return join_small(docs.select(F.struct("*").alias("doc"), digest), rejected, "_text", "left_anti", 48).select("doc.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
