@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import analytics, changes, documents, extraction, pages, project, runs
+from strataloom.plans import analytics, changes, documents, extraction, pages, project, runs, streams
 
-MODULES = (pages, documents, analytics, extraction, runs, changes, project)
+MODULES = (pages, documents, analytics, extraction, runs, changes, project, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
