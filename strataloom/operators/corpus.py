@@ -110,16 +110,6 @@ def manifest(records: DataFrame, by: str = "source") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("record_count"), F.countDistinct("content_hash").alias("distinct_hashes"), F.sum("tokens").alias("token_count"), F.sum("bytes").cast("long").alias("byte_count"))
 
 
-def fingerprint(records: DataFrame, by: str | None = None, value: str = "content_hash") -> DataFrame:
-    """Digest of the sorted values, joined by line feeds, of each group.
-
-    The values of a group meet in one task, so group by something of bounded size; a
-    whole corpus is fingerprinted as the digest of its groups' digests.
-    """
-    one = records.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("v"), F.count("*").alias("record_count")).select(by, "record_count", F.sha2(F.array_join("v", "\n"), 256).alias("lock_hash"))
-    return one
-
-
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row per url: added, removed, changed, title_changed or unchanged."""
     side = lambda d, p: d.groupBy("url").agg(F.array_sort(F.collect_set("content_hash")).alias(p + "_hashes"), F.array_sort(F.collect_set("title")).alias(p + "_titles"))

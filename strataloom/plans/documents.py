@@ -9,6 +9,7 @@ from strataloom.functions import urls as U
 from strataloom.operators import corpus as C
 from strataloom.operators import graph as G
 from strataloom.operators import search as S
+from strataloom.operators.digests import tree_digests
 from strataloom.operators.evaluation import rank_metrics as ranked_metrics
 from strataloom.plans.tables import SQL_CORPUS, SQL_SNAPSHOTS, quoted, sql_any, sql_list, table
 
@@ -64,7 +65,9 @@ def corpus_manifest(spark, sf_dir):
 
 
 def context_lock(spark, sf_dir):
-    return C.fingerprint(records(spark, sf_dir), "source")
+    """The digest tree of each source's content hashes, in order."""
+    rows = tree_digests(records(spark, sf_dir).select("source", "content_hash"), "source", ["content_hash"], "content_hash")
+    return rows.select("source", F.col("entries").alias("record_count"), F.col("root").alias("lock_hash"))
 
 
 def token_metrics(spark, sf_dir):
@@ -348,7 +351,10 @@ SQL = {
     "citations_declared": "SELECT 'S' || row_number() OVER (ORDER BY first_id, source) AS citation_id, source, first_id, record_count FROM (SELECT source, min(doc_id) AS first_id, count(*) AS record_count FROM documents GROUP BY source)",
     "record_ordinals": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS record_ordinal FROM documents",
     "corpus_manifest": f"{_W} SELECT source, count(*) AS record_count, count(DISTINCT content_hash) AS distinct_hashes, sum({_WORDS('content')})::BIGINT AS token_count, sum(strlen(content))::BIGINT AS byte_count FROM corpus GROUP BY source",
-    "context_lock": f"{_W} SELECT source, count(*) AS record_count, sha256(array_to_string(list_sort(list(content_hash)), chr(10))) AS lock_hash FROM corpus GROUP BY source",
+    "context_lock": f"""{_W}, e AS (SELECT source, content_hash, row_number() OVER (PARTITION BY source ORDER BY content_hash) - 1 AS place FROM corpus),
+      one AS (SELECT source, place // 1024 AS place, count(*) AS n, sha256(string_agg(content_hash, chr(10) ORDER BY place)) AS h FROM e GROUP BY 1, 2),
+      two AS (SELECT source, sum(n)::BIGINT AS record_count, count(*) AS blocks, first(h ORDER BY place) AS h, sha256(string_agg(h, chr(10) ORDER BY place)) AS top FROM one GROUP BY 1)
+      SELECT source, record_count, CASE WHEN blocks = 1 THEN h ELSE top END AS lock_hash FROM two""",
     "token_metrics": f"{_W} SELECT source, sum(greatest(1, length(content) // 4))::BIGINT AS chunk_tokens, sum({_WORDS('content')})::BIGINT AS word_tokens, sum(greatest({_WORDS('content')}, length(content) // 4))::BIGINT AS bench_tokens, sum((length(content) + 3) // 4)::BIGINT AS vector_tokens, round(avg({_WORDS('content')}), 6) AS words_per_document FROM corpus GROUP BY source",
     "extraction_quality": f"""{_W}, m AS (SELECT doc_id, length(content) AS char_count, len(regexp_extract_all(content, '([A-Za-z0-9]+)', 1)) AS word_count, len(list_distinct(list_transform(regexp_extract_all(content, '([A-Za-z0-9]+)', 1), lambda x: lower(x)))) AS unique_word_count,
       {_COUNT('(?m)^#{1,6}' + chr(92) + 's')} AS heading_count, {_COUNT(chr(92) + '[[^' + chr(92) + ']]+' + chr(92) + ']' + chr(92) + '([^)]+' + chr(92) + ')')} AS link_count, {_COUNT('```')} // 2 AS code_fence_count, len(list_filter({_LINES}, lambda x: trim(x) <> '')) AS line_count,
