@@ -19,10 +19,16 @@ from strataloom.llm.html_training import labelled_pages
 # ---------------------------------------------------------------- blocks
 
 #: Content that is never text.
-_RAW = "script style noscript template svg iframe textarea title select object canvas"
+_RAW = "script style noscript template iframe textarea title select"
+#: HTML elements that end an open drawing, as parsers of HTML have it.
+_LEAVE = (
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var article section main header footer nav aside form"
+)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"""|<svg(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*+(?<=/)>"""
+    rf"""|<svg(?=[\s/>])[^>]*>(?:(?!</svg\s*>|</?(?:{_LEAVE.replace(' ', '|')})(?=[\s/>])).)*+(?:</svg\s*>)?"""
     rf"|<({_RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>"""
@@ -51,6 +57,10 @@ class Block:
     tag: str
     link_chars: int
     label: str
+    #: Names of the innermost element that has any, and how far out it is.
+    near: tuple[str, ...] = ()
+    #: The element round the block's own, by its number in the page.
+    around: int = -1
 
 
 def leaf_blocks(page: str) -> list[Block]:
@@ -61,6 +71,8 @@ def leaf_blocks(page: str) -> list[Block]:
     """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], str]] = []
+    numbers: list[int] = []  # of the open elements
+    opened = 0
     active: Counter[str] = Counter()
     parts: list[str] = []
     links = link_depth = 0
@@ -71,13 +83,17 @@ def leaf_blocks(page: str) -> list[Block]:
         if text:
             tag = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
             label = next((x for _, _, x in reversed(stack) if x), "")
-            blocks.append(Block(text, frozenset(active), tag, links, label))
+            named = next(((min(out, 3), names[1:]) for out, (_, names, _) in enumerate(reversed(stack)) if len(names) > 1), (9, ()))
+            places = [n for (t, _, _), n in zip(reversed(stack), reversed(numbers), strict=True) if t in _BLOCK]
+            near = (f"named {named[0]}", *(f"near {x}" for x in named[1]))
+            blocks.append(Block(text, frozenset(active), tag, links, label, near, places[1] if len(places) > 1 else -1))
         parts.clear()
         links = 0
 
     def pop() -> None:
         nonlocal link_depth
         tag, names, _ = stack.pop()
+        numbers.pop()
         link_depth -= tag == "a"
         for name in names:
             active[name] -= 1
@@ -126,7 +142,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 break
             if stack[depth][0] in _SCOPES - {"td", "th"}:
                 break
-        if tag in _VOID or rest.endswith("/"):
+        # a slash closes nothing but in formulas; elsewhere it may end an unquoted value
+        if tag in _VOID or (rest.endswith("/") and any(t == "math" for t, _, _ in stack)):
             continue
         names, label = ["tag " + tag], ""
         for name, *values in _ATTRIBUTE.findall(rest) if "=" in rest else ():
@@ -136,6 +153,8 @@ def leaf_blocks(page: str) -> list[Block]:
             else:
                 names += ["name " + x.lower() for x in _NAME.findall(value)]
         stack.append((tag, tuple(names), label))
+        numbers.append(opened)
+        opened += 1
         active.update(names)
         link_depth += tag == "a"
     write(page[at:])
@@ -149,8 +168,13 @@ def leaf_blocks(page: str) -> list[Block]:
 def block_features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out = []
+    mates: dict[int, list[Block]] = {}
+    for block in blocks:
+        mates.setdefault(block.around, []).append(block)
+    group = {n: (min(len(some).bit_length(), 5), min(sum(len(b.text) for b in some).bit_length(), 12), any(b.tag in ("h1", "h2") for b in some)) for n, some in mates.items()}
     for i, block in enumerate(blocks):
         chars = len(block.text)
+        several, size, heading = group[block.around]
         words = block.text.count(" ") + 1
         density = block.link_chars / chars
         out.append(
@@ -158,6 +182,10 @@ def block_features(blocks: list[Block]) -> list[list[str]]:
                 "any",
                 "block " + block.tag,
                 *block.names,
+                *block.near,
+                f"mates {several}",
+                f"size {size}",
+                "with a heading" if heading else "without a heading",
                 f"words {min(words.bit_length(), 8)}",
                 f"links {round(4 * min(density, 1))}",
                 f"stops {min(sum(block.text.count(c) for c in '.!?'), 4)}",

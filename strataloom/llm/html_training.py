@@ -95,36 +95,63 @@ class _Page:
         replies = "".join(self.part("comments", ["div", "li", "article"], self.loose("p", 1, 5), 0.9) for _ in range(self.random.randint(1, 4)))
         return self.part("comments", ["section", "div", "ol"], self.marked("h3", 0, self.words(1, 3)) + replies, 0.95)
 
+    def code(self) -> str:
+        lines = [f"{self.word()}{self.random.choice([' = ', '(', ': ', ' - '])}{self.random.randint(0, 99)}{self.random.choice(['', ')', ';'])}" for _ in range(self.random.randint(1, 6))]
+        return "\n".join(lines)
+
+    def main_block(self, flow: str) -> str:
+        """A block of the article: prose in the article's own kind of element, or one of the others that hold text."""
+        kind, mark = self.random.random(), self.marked
+        if kind < 0.66:
+            tag = self.random.choice(["p", "div", "section"]) if flow == "mixed" else flow
+            if tag == "bare":
+                return f'<span data-main="1">{self.prose(1, 5)}</span><br><br>'
+            return mark(tag, 1, self.prose(1, 9))
+        if kind < 0.74:
+            return mark(self.random.choice(["h2", "h2", "h3", "h4"]), 1, self.words(1, 6))
+        if kind < 0.8:
+            tag = self.random.choice(["ul", "ul", "ol"])
+            return f"<{tag}>" + "".join(mark("li", 1, self.prose(1, 2) if self.random.random() < 0.7 else self.words(1, 5)) for _ in range(self.random.randint(2, 5))) + f"</{tag}>"
+        if kind < 0.84:
+            return f"<blockquote>{mark('p', 1, self.prose(1, 3))}</blockquote>" if self.random.random() < 0.5 else mark("blockquote", 1, self.prose(1, 3))
+        if kind < 0.88:
+            rows = "".join("<tr>" + "".join(mark(cell, 1, self.words(1, 4)) for _ in range(self.columns)) + "</tr>" for cell in ["th", *["td"] * self.random.randint(1, 3)])
+            return f"<table>{rows}</table>"
+        if kind < 0.92:
+            return "<dl>" + "".join(mark("dt", 1, self.words(1, 3)) + mark("dd", 1, self.prose(1, 2)) for _ in range(self.random.randint(1, 3))) + "</dl>"
+        if kind < 0.96:
+            return mark("pre", 1, f"<code>{self.code()}</code>" if self.random.random() < 0.6 else self.code())
+        return f'<figure><img src="/{self.word()}.png">{mark("figcaption", 1, self.prose(1, 1))}</figure>'
+
     def article(self) -> str:
+        """The article: a title or none, blocks, and now and then what is not the article's between any two of them."""
         blocks = []
-        if self.random.random() < 0.9:
-            title = self.marked("h1", 1, self.words(2, 10) + self.random.choice(["", "", ".", "&amp;"]))
+        self.columns = self.random.randint(2, 4)
+        flow = self.random.choice(["p"] * 11 + ["div"] * 4 + ["mixed"] * 3 + ["bare"])
+        if self.random.random() < 0.82:
+            title = self.marked(self.random.choice(["h1"] * 8 + ["h2"]), 1, self.words(2, 10) + self.random.choice(["", "", ".", "&amp;"]))
             blocks.append(f"<header>{title}</header>" if self.random.random() < 0.1 else title)
-        for _ in range(self.random.randint(1, 12)):
-            kind = self.random.random()
-            if kind < 0.78:
-                blocks.append(self.marked("p", 1, self.prose(1, 9)))
-            elif kind < 0.84:
-                blocks.append(self.marked("h2", 1, self.words(1, 6)))
-            elif kind < 0.89:
-                blocks.append("<ul>" + "".join(self.marked("li", 1, self.prose(1, 2)) for _ in range(self.random.randint(2, 5))) + "</ul>")
-            elif kind < 0.92:
-                blocks.append(self.marked("blockquote", 1, self.prose(1, 3)))
-            elif kind < 0.94:
-                blocks.append(f"<table><tr>{''.join(self.marked('td', 1, self.words(1, 3)) for _ in range(3))}</tr></table>")
-            else:
-                blocks.append(self.aside(self.random.choice(["advert", "notice", "sidebar", "share", "form"])))
+        often = self.random.choice([0, 0, 0.2, 0.4])
+        for _ in range(self.random.choice([1, 2, 3, 5, 8, 12])):
+            block = self.main_block(flow)
+            blocks.append(block if self.random.random() < 0.93 else f'<div class="{self.word()}-{self.random.randint(0, 99)}">{block}</div>')
+            if self.random.random() < often:
+                blocks.append(self.aside(self.random.choice(["advert", "notice", "sidebar", "share", "share", "form"])))
         inner = "".join(blocks)
         if self.random.random() < 0.15:
             inner += self.aside("comments")
         style = self.random.random()
-        if style < 0.55:
+        if style < 0.42:
             return f"<article>{inner}</article>"
-        if style < 0.7:
+        if style < 0.55:
             return self.part("content", ["article"], inner, 1)
-        if style < 0.8:
+        if style < 0.65:
             return self.part("content", ["main"], inner, 0.5)
-        return self.part("content", ["div", "section"], inner, 1)
+        if style < 0.8:
+            return self.part("content", ["div", "section"], inner, 1)
+        if style < 0.92:  # a container whose name says nothing
+            return f'<div class="{self.word()}{self.random.randint(0, 99)}">{inner}</div>'
+        return inner
 
     def build(self) -> str:
         body = []
@@ -139,9 +166,9 @@ class _Page:
         body += after
         if self.random.random() < 0.85:
             body.append(self.aside("footer"))
-        inner = "".join(body)
+        inner = "".join(body) if self.random.random() < 0.85 else self.article()  # some pages are nothing else
         for _ in range(self.random.choice([0, 0, 1, 2])):
-            inner = self.part("wrapper", ["div"], inner, 1)
+            inner = self.part("wrapper", ["div"], inner, 1) if self.random.random() < 0.7 else f'<div id="{self.word()}-{self.random.randint(0, 9)}">{inner}</div>'
         end = "</body></html>" if self.random.random() < 0.9 else ""
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{margin:0}}</style></head><body>{inner}{end}"
 
