@@ -76,19 +76,19 @@ def leaf_blocks(page: str) -> list[Block]:
     active: Counter[str] = Counter()
     parts: list[str] = []
     links = link_depth = 0
+    said = ""  # the label of the text since the last border
 
     def close() -> None:
-        nonlocal links
+        nonlocal links, said
         text = " ".join("".join(parts).split())
         if text:
             tag = next((t for t, _, _ in reversed(stack) if t in _BLOCK), "")
-            label = next((x for _, _, x in reversed(stack) if x), "")
             named = next(((min(out, 3), names[1:]) for out, (_, names, _) in enumerate(reversed(stack)) if len(names) > 1), (9, ()))
             places = [n for (t, _, _), n in zip(reversed(stack), reversed(numbers), strict=True) if t in _BLOCK]
             near = (f"named {named[0]}", *(f"near {x}" for x in named[1]))
-            blocks.append(Block(text, frozenset(active), tag, links, label, near, places[1] if len(places) > 1 else -1))
+            blocks.append(Block(text, frozenset(active), tag, links, said, near, places[1] if len(places) > 1 else -1))
         parts.clear()
-        links = 0
+        links, said = 0, ""
 
     def pop() -> None:
         nonlocal link_depth
@@ -101,10 +101,12 @@ def leaf_blocks(page: str) -> list[Block]:
                 del active[name]
 
     def write(raw: str) -> None:
-        nonlocal links
+        nonlocal links, said
         if raw:
             text = html.unescape(raw)
             parts.append(text)
+            if not said and text.strip():
+                said = next((x for _, _, x in reversed(stack) if x), "")
             if link_depth:
                 links += len(text.strip())
 
@@ -229,7 +231,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 80, rate: float = 0.15, decay: float = 1e-3) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 130, rate: float = 0.15, decay: float = 4e-4) -> Field:
     """Maximises the penalised likelihood of labelled pages by Adam over forward and backward sums."""
     pages = [p for p in pages if p[0]]
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in pages for row in rows for f in row}))}
@@ -272,7 +274,7 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 80, rate:
 
 
 @lru_cache
-def default_field(n_pages: int = 480, seed: int = 3) -> Field:
+def default_field(n_pages: int = 720, seed: int = 3) -> Field:
     """The field trained on the package's labelled pages, once per process."""
     pages = []
     for page in labelled_pages(n_pages, seed):

@@ -87,11 +87,13 @@ class _Page:
         if kind == "notice":
             return self.part("notice", ["div", "div", "section", "aside"], self.loose() + (f'<button data-main="0">{self.words(1, 2)}</button>' if self.random.random() < 0.5 else ""))
         if kind == "advert":
-            return self.part("advert", ["div", "div", "aside", "section", "p"], self.loose("div", 1, 4))
+            if self.random.random() < 0.2:  # paragraphs hold no other blocks
+                return self.part("advert", ["p"], f'<span data-main="0">{self.prose(1, 4)}</span>', 1)
+            return self.part("advert", ["div", "div", "aside", "section"], self.loose("div", 1, 4))
         if kind == "form":
             return f'<form action="/{self.word()}"><label data-main="0">{self.words(1, 4)}</label><input name="q">{self.loose()}<button data-main="0">{self.words(1, 2)}</button></form>'
         if kind == "share":
-            return self.part("share", ["div", "ul", "p"], f'<span data-main="0">{self.words(1, 3)} <a href="#">{self.word()}</a></span>')
+            return self.part("share", ["div", "ul", "p"], f'<span data-main="0">{self.words(1, 3)} <a href="#">{self.word()}</a></span>', 1)
         replies = "".join(self.part("comments", ["div", "li", "article"], self.loose("p", 1, 5), 0.9) for _ in range(self.random.randint(1, 4)))
         return self.part("comments", ["section", "div", "ol"], self.marked("h3", 0, self.words(1, 3)) + replies, 0.95)
 
