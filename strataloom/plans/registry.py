@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataloom.plans import analytics, changes, documents, extraction, governance, packs, pages, project, runs, streams
+from strataloom.plans import analytics, changes, contracts, documents, extraction, governance, packs, pages, project, runs, streams
 
-MODULES = (pages, documents, analytics, extraction, runs, changes, project, streams, governance, packs)
+MODULES = (pages, documents, analytics, extraction, runs, changes, project, streams, governance, packs, contracts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
