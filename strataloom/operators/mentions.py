@@ -160,3 +160,30 @@ def entity_mentions(texts: DataFrame, entities: DataFrame, key: str = "doc_id",
     spelled = cut(spelled)
     found = join_split(name_matches(texts, spelled, key, text), spelled, "name")
     return found.groupBy(key, "entity_id").agg(F.min(F.struct("name", "at")).alias("first")).select(key, "entity_id", "first.name", "first.at")
+
+
+#: Kinds of relations by the words that tell of them, in the order in which they are tried.
+RELATIONS = {
+    "supports": r"\bsupports?\b", "returns": r"\breturns?\b", "requires": r"\brequires?\b", "uses": r"\buses?\b", "provides": r"\bprovides?\b", "turns_into": r"\bturns?\b.+\binto\b", "documents": r"\bdocuments?|documented\b", "contacts": r"\bcontacts?\b",
+}
+SENTENCE_CHARS = 420
+
+
+def sentence_relations(texts: DataFrame, entities: DataFrame, key: str = "doc_id", text: str = "content") -> DataFrame:
+    """(key, sentence, left_id, right_id, relation): pairs of entities that a sentence of a text holds both, each sentence once.
+
+    Sentences end at a stop, question or exclamation mark before white space, and count up to ``SENTENCE_CHARS``, so pairs are
+    bounded by a sentence, not by a text.  A sentence's pairs are made of its own sorted entities.
+    """
+    folded = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " "))
+    cut_off = F.transform(F.split(folded, r"(?<=[.!?])\s+"), lambda s: F.left(F.trim(s), F.lit(SENTENCE_CHARS)))
+    rows = texts.select(F.col(key).alias("_key"), F.posexplode(cut_off).alias("sentence", "said")).where("said <> ''")
+    rows = rows.withColumn("_at", F.struct("_key", "sentence"))
+    found = entity_mentions(rows.select(F.to_json("_at").alias("_at"), "said"), entities, "_at", "said")
+    lists = found.groupBy("_at").agg(F.array_sort(F.collect_set("entity_id")).alias("ids")).where("size(ids) > 1")
+    pairs = F.flatten(F.transform("ids", lambda a, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda b: F.struct(a.alias("left_id"), b.alias("right_id")))))
+    kind = F.lit("related_in_sentence")
+    for name, pattern in reversed(RELATIONS.items()):
+        kind = F.when(F.col("said").rlike(f"(?i){pattern}"), name).otherwise(kind)
+    joined = rows.withColumn("_at", F.to_json("_at")).join(lists, "_at")
+    return joined.select(F.col("_key").alias(key), "sentence", kind.alias("relation"), F.explode(pairs).alias("p")).select(key, "sentence", "p.left_id", "p.right_id", "relation")

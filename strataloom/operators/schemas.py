@@ -39,13 +39,20 @@ def _is_type(kind: Column, expected: Any) -> Column:
     return kind == expected if expected in known else F.lit(True)
 
 
-def _equals(value: Column, kind: Column, wanted: Any) -> Column:
-    if isinstance(wanted, (int, float)):  # true and false are 1 and 0 here, whichever side they are on
+def _listed(value: Column, kind: Column, wanted: list[Any]) -> Column:
+    """Whether a value is one of ``wanted``; true and false are 1 and 0 here, whichever side they are on."""
+    numbers = [float(w) for w in wanted if isinstance(w, (bool, int, float))]
+    texts = [w for w in wanted if isinstance(w, str)]
+    others = [w for w in wanted if w is None or isinstance(w, (dict, list))]
+    found = F.lit(False)
+    if numbers:
         number = F.when(kind == "boolean", _as(value, "boolean").cast("double")).when(kind.isin("number", "integer"), _as(value, "double"))
-        return number == F.lit(float(wanted))
-    if isinstance(wanted, str):
-        return (kind == "string") & (_as(value, "string") == F.lit(wanted))
-    return F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
+        found = found | F.coalesce(number.isin(numbers), F.lit(False))
+    if texts:
+        found = found | F.coalesce((kind == "string") & _as(value, "string").isin(texts), F.lit(False))
+    for other in others:
+        found = found | F.coalesce(F.to_json(value) == F.to_json(F.parse_json(F.lit(json.dumps(other)))), F.lit(False))
+    return found
 
 
 def issues(value: Column, schema: dict[str, Any], path: Column | None = None) -> Column:
@@ -60,9 +67,7 @@ def issues(value: Column, schema: dict[str, Any], path: Column | None = None) ->
     parts: list[Column] = []
     one = lambda when, *text: F.when(F.coalesce(when, F.lit(False)), F.array(F.concat(*text))).otherwise(none)
     if isinstance(schema.get("enum"), list):
-        listed = F.lit(False)
-        for wanted in schema["enum"]:
-            listed = listed | F.coalesce(_equals(value, kind, wanted), F.lit(False))
+        listed = _listed(value, kind, schema["enum"])
         parts.append(one(~listed, path, F.lit(": value is not in enum")))
     for keyword, wrong, name in (("minimum", lambda v, x: v < x, "below minimum"), ("maximum", lambda v, x: v > x, "above maximum")):
         bound = schema.get(keyword)

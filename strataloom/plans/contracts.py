@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.operators import contracts as X
+from strataloom.operators import grading as G
 from strataloom.operators.corpus import corpus
+from strataloom.operators.ordered import running_sums
 from strataloom.plans.tables import SQL_CORPUS, table
 
 
@@ -65,7 +67,36 @@ def context_gate_report(spark, sf_dir):
     return X.gate_report(context_gates(spark, sf_dir), "pack")
 
 
-QUERIES = [contract_violations, contract_states, context_gates, context_gate_report]
+def _eval_tasks(spark, sf_dir):
+    rows = corpus(table(spark, sf_dir, "documents")).withColumn("pack", F.coalesce("source", F.lit("")))
+    numbered = running_sums(rows.select("pack", "doc_id", "url", "title", "content", "content_hash"), ["pack"], ["doc_id"], {"place": F.lit(1)})
+    cited = rows.where("length(content) > 300").groupBy("content_hash").agg(F.concat(F.lit("S"), F.min("doc_id")).alias("citation_id"))
+    return G.eval_tasks(numbered, cited, "pack", limit=40)
+
+
+def eval_tasks(spark, sf_dir):
+    """The first forty tasks of each source: a feature of the pack's size."""
+    rows = _eval_tasks(spark, sf_dir)
+    return rows.select("id", "pack", "task_type", "input", F.size("required_behavior").alias("behaviours"), "source_url", "citation_id", F.size("fail_if_contains").alias("fail_terms"), "trap")
+
+
+def _predictions(spark, sf_dir):
+    """Answers to tasks by what they ask for: some cite, some name the source, some hold what none may, some are blank or missing."""
+    n = F.length("claim")
+    answer = F.when(n % 7 == 0, " ").when(n % 5 == 0, F.concat(F.lit("UNCITED answer, see "), "source_url")).when(n % 3 == 0, F.concat(F.lit("as "), F.coalesce("citation_id", F.lit("nothing")), F.lit(" says"))).when(n % 2 == 0, F.concat(F.lit("see "), "source_url")).otherwise("no source")
+    return _eval_tasks(spark, sf_dir).where(F.col("task_type") != "coverage-aware").select("id", answer.alias("answer"), F.lit(1).alias("seq"))
+
+
+def graded_predictions(spark, sf_dir):
+    rows = G.graded(_eval_tasks(spark, sf_dir), _predictions(spark, sf_dir))
+    return rows.select("id", "status", "non_empty", "has_url", "has_citation", F.array_join("failed_terms", ";").alias("failed_terms"), "passed")
+
+
+def grading_rates(spark, sf_dir):
+    return G.grading_summary(G.graded(_eval_tasks(spark, sf_dir), _predictions(spark, sf_dir)), "pack")
+
+
+QUERIES = [eval_tasks, graded_predictions, grading_rates, contract_violations, contract_states, context_gates, context_gate_report]
 
 _RECORDS = f"""WITH {SQL_CORPUS}, l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1),
   r AS (SELECT corpus.doc_id, source AS pack, url, title, content, lang, length(content) AS n, coalesce(toxic, 0) AS toxic, row_number() OVER (PARTITION BY source ORDER BY corpus.doc_id) AS place FROM corpus LEFT JOIN l ON l.doc_id = corpus.doc_id),
@@ -96,7 +127,23 @@ _GATES = f"""{_RECORDS}, g AS (
   UNION ALL SELECT pack, 'basis_quality', CASE WHEN n > 2 AND timed >= 0.8 THEN 'pass' ELSE 'warn' END, CASE WHEN n > 2 THEN timed::DOUBLE::VARCHAR END, '0.8' FROM p
   UNION ALL SELECT pack, 'context_prediction_pass_rate', 'skip', NULL, NULL FROM p)"""
 
+_TASKS = rf"""WITH {SQL_CORPUS}, c AS (SELECT content_hash, 'S' || min(doc_id) AS citation_id FROM corpus WHERE length(content) > 300 GROUP BY 1),
+  r AS (SELECT coalesce(source, '') AS pack, doc_id, url, coalesce(nullif(title, ''), url) AS title, content, content_hash, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) AS place FROM corpus),
+  k AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{k}', '{v[0]}', '{v[1]}', {3 + bool(v[2])})" for i, (k, v) in enumerate(G.KINDS.items()))}) AS t(turn, task_type, before, after, behaviours)),
+  b AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(content, '(?m)^\s{{0,3}}#{{1,6}}\s*', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '\s+', ' ', 'g'), ' ') AS bare FROM r WHERE trim(content, ' ') <> ''),
+  s AS (SELECT *, regexp_matches(content, '{G.DEPRECATION}') AS stale, list_filter(string_split(regexp_replace(bare, '([.!?])\s+', '\1' || chr(31), 'g'), chr(31)), lambda x: length(trim(x, ' ')) >= 40) AS long FROM b),
+  t AS (SELECT 'eval_' || left(sha256(pack || chr(31) || task_type || chr(31) || url || chr(31) || s.content_hash), 24) AS id, pack, task_type, before || title || after AS input, behaviours, url AS source_url, citation_id,
+    CASE WHEN stale OR task_type = 'version-drift' THEN 5 ELSE 2 END AS fail_terms, stale OR task_type = 'version-drift' AS trap, CASE WHEN len(long) > 0 THEN trim(long[1], ' ') ELSE bare END AS said
+    FROM s CROSS JOIN k LEFT JOIN c ON c.content_hash = s.content_hash WHERE (place - 1) * 4 + turn < 40),
+  n AS (SELECT *, CASE WHEN length(said) <= 420 THEN length(said) ELSE length(rtrim(left(said, 417), ' ')) + 3 END AS n FROM t),
+  g AS (SELECT *, task_type <> 'coverage-aware' AS told, n % 7 = 0 AS blank, n % 7 <> 0 AND n % 5 = 0 AS bad, n % 7 <> 0 AND n % 5 <> 0 AND n % 3 = 0 AS cites, n % 7 <> 0 AND n % 5 <> 0 AND n % 3 <> 0 AND n % 2 = 0 AS sees FROM n),
+  q AS (SELECT *, told AND NOT blank AS non_empty, told AND (bad OR sees) AS has_url, told AND cites AND citation_id IS NOT NULL AS has_citation FROM g)"""
+
 SQL = {
+    "eval_tasks": f"{_TASKS} SELECT id, pack, task_type, input, behaviours, source_url, citation_id, fail_terms, trap FROM t",
+    "graded_predictions": f"""{_TASKS} SELECT id, CASE WHEN told THEN 'graded' ELSE 'missing_prediction' END AS status, non_empty, has_url, has_citation OR (told AND (bad OR sees) AND citation_id IS NOT NULL AND contains(source_url, citation_id)) AS has_citation, CASE WHEN told AND bad THEN 'uncited answer' ELSE '' END AS failed_terms,
+      non_empty AND (has_url OR has_citation) AND NOT bad AS passed FROM q""",
+    "grading_rates": f"{_TASKS} SELECT pack, count(*) AS tasks, count(*) FILTER (told) AS graded, count(*) FILTER (non_empty AND (has_url OR has_citation) AND NOT bad) AS passed, CASE WHEN count(*) FILTER (told) > 0 THEN round(count(*) FILTER (non_empty AND (has_url OR has_citation) AND NOT bad) / count(*) FILTER (told), 6) END AS pass_rate FROM q GROUP BY 1",
     "contract_violations": f"{_ISSUES} SELECT * FROM i",
     "contract_states": f"""{_ISSUES} SELECT p.pack, CASE WHEN count(*) FILTER (severity = 'issue') = 0 THEN 'pass' ELSE 'fail' END AS status, count(*) FILTER (severity = 'issue') AS issue_count,
       count(*) FILTER (severity = 'warning') AS warning_count, count(*) FILTER (code = 'missing_artifact') AS missing_artifacts FROM p LEFT JOIN i ON i.pack IS NOT DISTINCT FROM p.pack GROUP BY 1""",

@@ -73,6 +73,11 @@ def chunk_mentions(spark, sf_dir):
     return M.entity_mentions(corpus(table(spark, sf_dir, "documents")), _entities(spark, sf_dir))
 
 
+def entity_relations(spark, sf_dir):
+    """Pairs of entities in one sentence, by what the sentence says of them."""
+    return M.sentence_relations(corpus(table(spark, sf_dir, "documents")), _entities(spark, sf_dir))
+
+
 def page_title_mentions(spark, sf_dir):
     """Pages whose html holds the title of another page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -81,7 +86,7 @@ def page_title_mentions(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count("*").alias("titles"))
 
 
-QUERIES = [project_dedup, embedding_batches, overlap_windows, chunk_mentions, page_title_mentions]
+QUERIES = [project_dedup, embedding_batches, overlap_windows, chunk_mentions, entity_relations, page_title_mentions]
 
 SQL = {
     "embedding_batches": rf"""WITH RECURSIVE t AS (SELECT coalesce(source, '') AS source, doc_id, ceil((length(coalesce(text, '')) + len(regexp_extract_all(coalesce(text, ''), '[\x{{10000}}-\x{{10FFFF}}]'))) / 4)::BIGINT AS tokens FROM documents),

@@ -47,3 +47,31 @@ def test_gates(spark):
     strict, _ = gates(spark, ("p", 5, 4, 5, 79, 80, "medium", 0.89, 10.5, True, "no", None, None, 0.9, 1, None), X.Thresholds(max_age_days=10, strict=True), True)
     assert strict == {"pack_score_current": "fail", "pack_audit_current": "pass", "pack_score": "fail", "audit_score": "pass", "coverage_confidence": "fail", "citation_coverage": "fail", "max_age_days": "fail", "eval_grade_artifacts": "pass", "rights_status": "pass", "basis_quality": "fail", "context_prediction_pass_rate": "fail"}
     assert gates(spark, ("p", 5, 5, 5, 90, 90, "low", 1.0, None, True, None, None, None, 0.9, 0, None), X.Thresholds(max_age_days=1))[0]["max_age_days"] == "warn"
+
+
+TASK = "id string, source_url string, citation_id string, fail_if_contains array<string>, pack string"
+
+
+def test_grading(spark):
+    from strataloom.operators import grading as G
+
+    tasks = [("a", "https://u", "S1", ["Bad"], "p"), ("b", "https://u", "S1", ["bad"], "p"), ("c", "https://u", None, [], "p"), ("d", None, None, [], "p"), ("e", "https://u", "S1", [], "q"), ("f", "https://u", "S1", [], "p")]
+    said = [("a", "see https://u", 1), ("b", "S1 but BAD", 1), ("c", "S1 only", 1), ("d", "anything", 1), ("f", "https://u", 1), ("f", " ", 2), (None, "x", 1), ("z", "https://u", 1)]
+    results = G.graded(spark.createDataFrame(tasks, TASK), spark.createDataFrame(said, "id string, answer string, seq int")).cache()
+    got = {r.id: (r.status, r.passed) for r in results.collect()}
+    assert got == {"a": ("graded", True), "b": ("graded", False), "c": ("graded", False), "d": ("graded", True), "e": ("missing_prediction", False), "f": ("graded", False)}
+    rates = {r.pack: (r.tasks, r.graded, r.passed, r.pass_rate) for r in G.grading_summary(results, "pack").collect()}
+    assert rates == {"p": (5, 5, 2, 0.4), "q": (1, 0, 0, None)}
+    verdicts = spark.createDataFrame([("a", False), ("c", True), ("e", True), ("f", None)], "id string, correct boolean")
+    for mode, want in (("llm", {"a": False, "c": True, "e": False, "f": False}), ("hybrid", {"a": True, "c": True, "e": False, "f": False})):
+        judged = {r.id: r.passed for r in G.with_verdicts(results, verdicts, mode).collect()}
+        assert {k: judged[k] for k in want} == want
+
+
+def test_sentence_relations(spark):
+    from strataloom.operators import mentions as M
+
+    texts = [(1, "The SDK uses the API. Nothing here! An api supports\nthe MCP? " + "x" * 430 + " API SDK"), (2, "Only API."), (3, None)]
+    names = [("e:api", ["API"]), ("e:mcp", ["MCP"]), ("e:sdk", ["SDK", "sdk"])]
+    got = M.sentence_relations(spark.createDataFrame(texts, "doc_id long, content string"), spark.createDataFrame(names, "entity_id string, candidates array<string>"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "e:api", "e:sdk", "uses"), (1, 2, "e:api", "e:mcp", "supports")]
