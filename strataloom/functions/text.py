@@ -200,9 +200,23 @@ def quality_score(m: dict[str, Column]) -> Column:
     return F.greatest(F.lit(0.0), F.round(F.least(total, F.lit(1.0)), 4))
 
 
-def screen_counts(text: Column) -> Column:
-    """Matches of each screening pattern, in order; each pattern reads the text once."""
-    return F.array(*[F.regexp_count(text, F.lit(p)) for _, _, p in SCREENS])
+#: Words of which a match of a screen holds one, in lower case; texts without them need no pattern.
+SCREEN_WORDS = {
+    "ignore_previous_instructions": ["ignore", "disregard", "forget"], "you_are_now": ["now"], "act_as": ["act"], "new_instructions": ["instructions"], "system_prompt": ["prompt"],
+    "developer_message": ["developer"], "exfil_to_url": ["http"], "curl_pipe_shell": ["curl", "wget"], "run_following_command": ["following"], "enter_credentials": ["enter"],
+    "paste_credentials": ["paste"], "chatml_marker": ["<|im_"], "inst_marker": ["inst]"], "instruction_heading": ["instruction"], "begin_system_prompt": ["begin"],
+}
+
+
+def screen_counts(text: Column, low: Column | None = None) -> Column:
+    """Matches of each screening pattern, in order; a pattern reads only texts that hold one of its words.
+
+    ``low`` is the text in lower case, as a column if it is at hand.
+    """
+    low = F.lower(text) if low is None else low
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    held = lambda name: reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in SCREEN_WORDS[name]])
+    return F.array(*[F.when(held(name), count(p)).otherwise(0) if name in SCREEN_WORDS else count(p) for name, _, p in SCREENS])
 
 
 def screen_families(counts: Column) -> tuple[Column, Column]:

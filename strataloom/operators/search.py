@@ -21,7 +21,7 @@ def lexical_score(terms: Sequence[str], phrase: str, title: Column, heading: Col
     fields = [(title, 3, 8, 20), (heading, 3, 6, 14), (url, 3, 3, 0), (content, 10, 2, 10)]
     score, matched = F.lit(0), []
     for term in sorted(set(terms)):
-        hits = [T.term_count(f, term) for f, _, _, _ in fields]
+        hits = [F.when(F.contains(f, F.lit(term)), T.term_count(f, term)).otherwise(0) for f, _, _, _ in fields]
         score = reduce(lambda a, x: a + F.least(x[0], F.lit(x[1][1])) * x[1][2], zip(hits, fields, strict=True), score)
         matched.append(F.when(reduce(lambda a, b: a + b, hits) > 0, F.lit(term)))
     if len(phrase) >= 4:

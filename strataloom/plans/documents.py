@@ -106,7 +106,8 @@ def keyword_totals(spark, sf_dir):
 
 def injection_labels(spark, sf_dir):
     families, spans = T.screen_families(F.col("counts"))
-    rows = records(spark, sf_dir).select("doc_id", T.screen_counts(F.col("content")).alias("counts")).select("doc_id", F.array_join(families, ",").alias("families"), spans.alias("spans"))
+    low = records(spark, sf_dir).select("doc_id", "content", F.lower("content").alias("low"))
+    rows = low.select("doc_id", T.screen_counts(F.col("content"), F.col("low")).alias("counts")).select("doc_id", F.array_join(families, ",").alias("families"), spans.alias("spans"))
     return rows.select("doc_id", F.when(F.col("spans") > 0, "suspicious").otherwise("clean").alias("label"), "families", "spans")
 
 
