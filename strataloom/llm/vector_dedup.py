@@ -234,8 +234,12 @@ def compare(left: _Shard, right: _Shard | None, least: float) -> tuple[np.ndarra
 
 def _meet(least: float):
     def run(rows: pa.Table) -> pa.Table:
+        both = rows.column("low")[0] != rows.column("high")[0]
         shards = [_Shard(row) for row in sorted(rows.to_pylist(), key=lambda row: row["shard"])]
-        found = compare(shards[0], shards[1] if len(shards) > 1 else None, least)
+        if both and len(shards) == 1:  # no vector fell to the other shard
+            found = (np.zeros(0, np.int64),) * 3
+        else:
+            found = compare(shards[0], shards[1] if both else None, least)
         return pa.table([pa.array(x) for x in found], ["node", "links", "root"])
 
     return run

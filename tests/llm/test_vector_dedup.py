@@ -94,6 +94,13 @@ def shard(vectors, first, beam):
     return _Shard(row | {"level_nodes": [a.tobytes() for a, _ in levels], "level_links": [b.tobytes() for _, b in levels]})
 
 
+def test_shards_without_vectors(spark):
+    """As many shards as vectors: some stay empty, and no link counts twice."""
+    rows = [(i, [1.0, 0.01 * (i % 4)]) for i in range(12)] + [(20, [-1.0, 0.3]), (21, [0.0, 1.0])]
+    got = vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=1)
+    assert sorted(map(tuple, got.collect()), key=repr) == brute(rows)
+
+
 @pytest.mark.parametrize("beam", [0, 24, 64])
 def test_two_shards_meet(beam):
     """Narrow beams send dense groups to the balls, and wide ones leave them to the search: the counts agree."""
