@@ -35,7 +35,10 @@ def lexical_search(records: DataFrame, query: str, k: int = 10) -> DataFrame:
     phrase = query.strip().lower()
     terms = sorted({w for w in phrase.split() if len(w) >= 3})
     folded = {c: F.lower(T.clean_passage(F.col(c))) for c in ("title", "content")}
-    fields = records.select("doc_id", "url", "content", folded["title"].alias("_title"), F.lower("url").alias("_url"), folded["content"].alias("_content"))
+    # cleaning joins letters only over backticks and links; texts with neither, and no word of the query, score nothing
+    signs = [F.contains(F.col(c), F.lit(sign)) for c in ("title", "content") for sign in ("`", "](")]
+    words = [F.contains(F.lower(c), F.lit(w)) for c in ("title", "url", "content") for w in {*terms, phrase} if w]
+    fields = records.where(reduce(lambda a, b: a | b, [*words, *signs])).select("doc_id", "url", "content", folded["title"].alias("_title"), F.lower("url").alias("_url"), folded["content"].alias("_content"))
     score, found = lexical_score(terms, phrase, F.col("_title"), F.lit(""), F.col("_url"), F.col("_content"))
     hits = fields.select("doc_id", "url", score.cast("long").alias("score"), found.alias("terms"), "content").where("score > 0")
     best = hits.orderBy(F.col("score").desc(), "url").limit(k)
