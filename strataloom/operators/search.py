@@ -38,9 +38,16 @@ def lexical_search(records: DataFrame, query: str, k: int = 10) -> DataFrame:
     # cleaning joins letters only over backticks and links; texts with neither, and no word of the query, score nothing
     signs = [F.contains(F.col(c), F.lit(sign)) for c in ("title", "content") for sign in ("`", "](")]
     words = [F.contains(F.lower(c), F.lit(w)) for c in ("title", "url", "content") for w in {*terms, phrase} if w]
-    fields = records.where(reduce(lambda a, b: a | b, [*words, *signs])).select("doc_id", "url", "content", folded["title"].alias("_title"), F.lower("url").alias("_url"), folded["content"].alias("_content"))
-    score, found = lexical_score(terms, phrase, F.col("_title"), F.lit(""), F.col("_url"), F.col("_content"))
-    hits = fields.select("doc_id", "url", score.cast("long").alias("score"), found.alias("terms"), "content").where("score > 0")
+    held = records.where(reduce(lambda a, b: a | b, [*words, *signs]))
+    fields = F.struct(folded["title"].alias("title"), F.lower("url").alias("url"), folded["content"].alias("content"))
+
+    def scored(f: Column) -> Column:
+        score, found = lexical_score(terms, phrase, f["title"], F.lit(""), f["url"], f["content"])
+        return F.struct(score.cast("long").alias("score"), found.alias("terms"))
+
+    # within a function on an array of one, fields are made once, however often the score names them
+    hits = held.select("doc_id", "url", "content", F.get(F.transform(F.array(fields), scored), F.lit(0)).alias("_hit"))
+    hits = hits.select("doc_id", "url", "_hit.score", "_hit.terms", "content").where("score > 0")
     best = hits.orderBy(F.col("score").desc(), "url").limit(k)
     ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "url")))
     return ranked.select("rank", "doc_id", "score", "terms", T.excerpt(T.clean_passage(F.col("content")), [*terms, phrase]).alias("excerpt"))
