@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.common import HOT_ROWS, cut, join_sized, join_small, mix, shingle_hashes, text_words
+from strataloom.llm.common import HOT_ROWS, cut, mix, shingle_hashes, text_words
+from strataloom.llm.common import join_sized as _join_sized
+from strataloom.llm.common import join_small as _join_small
 
 BINS = 256
 #: Signature values in a band, and bands.  Two texts of similarity s miss every bucket
@@ -32,6 +34,17 @@ MORE_STARS = 16
 HOT_LINKS = 1 << 15
 #: Cells in which shingles are counted to tell rare from frequent ones.
 CELLS = 1 << 20
+#: Largest side, in estimated bytes, that a join here broadcasts.  The driver holds it as collected rows, as a
+#: hash table and as blocks, some ten times the estimate, and builds several of one plan at once.
+SENT_BYTES = 8 << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
+    return _join_small(left, right, on, how, row_bytes, SENT_BYTES)
+
+
+def join_sized(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    return _join_sized(rows, side, key, limit=SENT_BYTES)
 
 
 @lru_cache
