@@ -1,24 +1,24 @@
-"""Which texts hold which names: one pass of an automaton, or names dealt by their rarest gram."""
+"""Which texts hold which names: one pass of an automaton, or names dealt by their rarest long gram."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.lineage import cut
+from strataloom.lineage import cut, slices
 from strataloom.operators.joins import join_split
 
 #: Most bytes of names, in UTF-8, of which every executor builds one automaton.
 AUTOMATON_BYTES = 4 << 20
-#: Characters of a gram; names with fewer are one gram.
-GRAM = 4
-#: Cells in which grams of the texts are counted, and bits by which a text's grams are sifted.
-CELLS = 1 << 20
-BITS = 1 << 23
+#: Lengths of grams; a name is dealt by a gram of the largest length that it holds, which is more than half of it up to the last.
+SIZES = (1, 2, 4, 8, 16, 32, 64)
+#: Bits by which a text's grams are sifted, two for each gram of a name, and bits sent as one row.
+BITS = 1 << 27
+_BLOCK = 1 << 18
 
 _FOUND = "key {kind}, name string, at int"
 
@@ -50,51 +50,67 @@ def _scan(names):
     return run
 
 
-def _grams(text: str, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` characters; runs of different sizes differ."""
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    n = len(points) - size + 1
-    out = np.full(max(n, 0), size, np.uint64)
-    for k in range(size):
-        out = (out ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15) if n > 0 else out
-        out ^= out >> np.uint64(29)
-    return out
+def _grams(text: str, sizes: Sequence[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of all runs of that many characters), each made of two runs of half the size."""
+    hashes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    for size in SIZES:
+        half = size // 2
+        n = len(hashes) - half
+        if n < 1:
+            return
+        hashes = (hashes[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (hashes[half:] if half else np.uint64(0))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
+        hashes ^= hashes >> np.uint64(31)
+        if size in sizes:
+            yield size, hashes
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS, np.int64)
+def _probes(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (grams % np.uint64(BITS)).astype(np.int64), ((grams >> np.uint64(32)) % np.uint64(BITS)).astype(np.int64)
+
+
+def _name_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first, the middle and the last gram of each name."""
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for size in range(1, GRAM + 1):
-                np.add.at(counts, (np.unique(_grams((text or "").casefold(), size)) % CELLS).astype(np.int64), 1)
-    full = np.flatnonzero(counts)
-    yield pa.record_batch([pa.array(full), pa.array(counts[full])], ["cell", "n"])
+        names, sizes, grams = [], [], []
+        for row, name in enumerate(batch.column(0).to_pylist()):
+            size, hashes = list(_grams(name, SIZES))[-1]
+            own = {int(hashes[i].astype(np.int64)) for i in (0, len(hashes) // 2, len(hashes) - 1)}
+            names += [row] * len(own)
+            sizes += [size] * len(own)
+            grams += own
+        yield pa.record_batch([batch.column(0).take(pa.array(names, pa.int64())), pa.array(sizes, pa.int32()), pa.array(grams, pa.int64())], ["name", "size", "gram"])
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of bits, by the block of the bit."""
+    for batch in batches:
+        places = np.unique(np.concatenate(_probes(batch.column(0).to_numpy().view(np.uint64))))
+        yield pa.record_batch([pa.array(places // _BLOCK), pa.array((places % _BLOCK).astype(np.int32))], ["block", "place"])
 
 
-def _rarest(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = []
-            for name in batch.column(0).to_pylist():
-                own = np.sort(_grams(name, min(GRAM, len(name))))
-                grams.append(int(own[counts.value[(own % CELLS).astype(np.int64)].argmin()].astype(np.int64)))
-            yield pa.record_batch([batch.column(0), pa.array(grams, pa.int64())], ["name", "gram"])
+def _packed(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(_BLOCK, bool)
+    bits[rows.column("place").to_numpy()] = True
+    return pa.table({"block": rows.column("block")[:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    return run
 
+def _sift(bits, sizes):
+    def held(grams: np.ndarray) -> np.ndarray:
+        for places in range(2):
+            at = _probes(grams)[places]
+            grams = grams[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
+        return grams
 
-def _sift(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, grams = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                folded = (text or "").casefold()
-                own = np.unique(np.concatenate([_grams(folded, size) for size in range(1, GRAM + 1)]))
-                own = own[bits.value[(own % BITS).astype(np.int64)]]
-                rows.append(np.full(len(own), row))
-                grams.append(own.astype(np.int64))
-            rows, grams = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, grams))
-            yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(grams)], ["key", "gram"])
+        for whole in batches:
+            for batch in slices(whole):
+                rows, grams = [], []
+                for row, text in enumerate(batch.column(1).to_pylist()):
+                    own = np.unique(np.concatenate([np.zeros(0, np.uint64), *(held(g) for _, g in _grams((text or "").casefold(), sizes))]))
+                    rows.append(np.full(len(own), row))
+                    grams.append(own.view(np.int64))
+                rows, grams = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (rows, grams))
+                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(grams)], ["key", "gram"])
 
     return run
 
@@ -115,17 +131,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_grams(texts: DataFrame, names: DataFrame, schema: str, kind: str) -> DataFrame:
     spark = texts.sparkSession
-    counts = np.zeros(CELLS, np.int64)
-    counted = texts.select("text").mapInArrow(_count_grams, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    for row in counted.toLocalIterator():  # a number for each cell, whatever the input
-        counts[row["cell"]] = row["n"]
-    dealt = cut(names.mapInArrow(_rarest(spark.sparkContext.broadcast(counts)), "name string, gram long"))
-    bits = np.zeros(BITS, bool)
-    wanted = dealt.select(F.pmod("gram", F.lit(BITS)).alias("bit")).distinct()  # a power of two, so signs do not matter
-    for row in wanted.toLocalIterator():
-        bits[row["bit"]] = True
-    hits = texts.mapInArrow(_sift(spark.sparkContext.broadcast(bits)), f"key {kind}, gram long")
-    candidates = join_split(hits, dealt, "gram", 128).where("name is not null")
+    grams = cut(names.mapInArrow(_name_grams, "name string, size int, gram long"))
+    shared = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    dealt = cut(grams.join(shared, "gram").groupBy("name").agg(F.min(F.struct("n", "gram", "size")).alias("own")).select("name", "own.gram", "own.size"))
+    sizes = [r["size"] for r in dealt.select("size").distinct().collect()]
+    places = dealt.select("gram").mapInArrow(_bits, "block long, place int")
+    bits = np.zeros(BITS // 8, np.uint8)
+    for row in places.groupBy("block").applyInArrow(_packed, "block long, bits binary").toLocalIterator():  # 16 MB, whatever the input
+        bits[row["block"] * _BLOCK // 8 :][: _BLOCK // 8] = np.frombuffer(row["bits"], np.uint8)
+    hits = texts.mapInArrow(_sift(spark.sparkContext.broadcast(bits), sizes), f"key {kind}, gram long")
+    candidates = join_split(hits, dealt.select("gram", "name"), "gram", 128).where("name is not null")
     lists = candidates.groupBy("key").agg(F.collect_set("name").alias("names"))
     return texts.join(lists, "key").select("key", "text", "names").mapInArrow(_verify, schema)
 
@@ -135,7 +150,7 @@ def name_matches(texts: DataFrame, names: DataFrame, key: str = "doc_id", text:
 
     ``names`` may repeat; null and empty ones are none.  ``key`` has to tell the texts apart.  If all
     names, which are counted, are small enough, each task goes through its texts once with an automaton
-    of all of them.  Else a name is dealt by the gram that the fewest texts hold; texts
+    of all of them.  Else a name is dealt by its first, middle or last gram, whichever the fewest names share; texts
     meet the names whose grams they have, and are searched for these alone.
     """
     kind = texts.schema[key].dataType.simpleString()
