@@ -75,23 +75,53 @@ def rights_manifest(records: DataFrame, by: str, explicit: DataFrame | None = No
 def effective_rights(records: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     """(key, the USES) of each record met with the rights of all that it is derived from, directly or not.
 
-    ``derived`` are rows (child, parent); those of records that are not there pass nothing on.  Bits
-    only grow, so rounds end, also where derivations go in a circle.  A round looks only at the children
-    of records that the round before has changed; there are as many as the longest way on which
-    something new comes along.  Repeated keys are one record.
+    ``derived`` are rows (child, parent); those of records that are not there pass nothing on.  A record of one parent
+    jumps to it, then to where that jumps, and so on, gathering rights on the way, so a chain takes as many rounds as its
+    length has binary digits.  Between records of several parents what is new goes on by rounds that look only at the
+    children of those that the round before has changed.  Bits only grow, so rounds end, also where derivations
+    go in a circle.  Repeated keys are one record.
     """
     bits = lambda rows, node: rows.groupBy(node).agg(*(F.bit_or(use).alias(use) for use in USES))
     own = records.select(F.col(key).alias("node"), *(status_bits(F.col(use)).alias(use) for use in USES))
     known = cut(bits(own, "node"))
-    links = cut(derived.where("child <> parent").select("child", "parent").distinct())
-    fresh = known
-    while True:
-        come = links.join(fresh, links["parent"] == fresh["node"]).select(F.col("child").alias("node"), *(F.col(use).alias(f"more_{use}") for use in USES))
-        come = come.groupBy("node").agg(*(F.bit_or(f"more_{use}").alias(f"more_{use}") for use in USES))
-        joined = known.join(come, "node", "left")
+    nodes = known.select("node")
+    links = derived.where("child <> parent").select("child", "parent").distinct()
+    links = cut(links.join(nodes.withColumnRenamed("node", "child"), "child", "left_semi").join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi"))
+    single = links.groupBy("child").agg(F.min("parent").alias("parent"), F.count("*").alias("n")).where("n = 1").select(F.col("child").alias("node"), F.col("parent").alias("next"))
+    moving = cut(known.join(single, "node"))
+    steps, ended = moving.count().bit_length(), None  # after so many rounds only circles are left, gone round as a whole
+    for _ in range(steps):
+        ahead = moving.select(F.col("node").alias("next"), F.col("next").alias("after"), *(F.col(use).alias(f"more_{use}") for use in USES))
         more = {use: F.col(use).bitwiseOR(F.coalesce(F.col(f"more_{use}"), F.lit(0))) for use in USES}
+        if ended is not None:  # who has come to the end of a chain is where others arrive
+            ahead = ahead.unionByName(ended.select(F.col("node").alias("next"), F.col("next").alias("after"), *(F.col(use).alias(f"more_{use}") for use in USES)))
+        jumped = cut(moving.join(ahead.hint("merge"), "next", "left").select("node", F.coalesce("after", "next").alias("next"), *(more[use].alias(use) for use in USES), F.col("after").isNull().alias("done")))
+        over = jumped.where("done").drop("done")
+        ended = over if ended is None else ended.unionByName(over)
+        moving = jumped.where("not done").drop("done")
+        if moving.isEmpty():
+            break
+    jumps = moving if ended is None else moving.unionByName(ended)
+    return _spread(known, links, cut(jumps), key)
+
+
+def _spread(known: DataFrame, links: DataFrame, jumps: DataFrame, key: str) -> DataFrame:
+    """Rights of ``known`` (node, bits), of which ``jumps`` (node, next, bits) tell what is met on the way to ``next``."""
+    more = {use: F.col(use).bitwiseOR(F.coalesce(F.col(f"more_{use}"), F.lit(0))) for use in USES}
+    renamed = [F.col(use).alias(f"more_{use}") for use in USES]
+    met_bits = lambda rows: rows.groupBy("node").agg(*(F.bit_or(f"more_{use}").alias(f"more_{use}") for use in USES))
+    ends = known.join(jumps.select("node"), "node", "left_anti")
+    # the links of records of several parents: what their parents meet comes at once, what ends of chains have comes by rounds
+    several = links.join(ends.select(F.col("node").alias("child")), "child", "left_semi")
+    arrived = several.join(jumps.select(F.col("node").alias("parent"), "next", *renamed), "parent", "left").select(F.col("child").alias("node"), F.coalesce("next", "parent").alias("from"), *(f"more_{use}" for use in USES))
+    arrived = cut(arrived)
+    first = cut(ends.join(met_bits(arrived), "node", "left").select("node", *(more[use].alias(use) for use in USES)))
+    ways = cut(arrived.where("node <> from").select("node", "from").distinct())
+    ends = fresh = first
+    while not ways.isEmpty() and not fresh.isEmpty():
+        come = met_bits(ways.join(fresh.select(F.col("node").alias("from"), *renamed), "from"))
         changed = F.array(*(more[use] for use in USES)) != F.array(*USES)
-        joined = cut(joined.select("node", *(more[use].alias(use) for use in USES), changed.alias("changed")))
-        known, fresh = joined.drop("changed"), joined.where("changed").drop("changed")
-        if fresh.isEmpty():
-            return known.select(F.col("node").alias(key), *(status_of_bits(F.col(use)).alias(use) for use in USES))
+        joined = cut(ends.join(come, "node", "left").select("node", *(more[use].alias(use) for use in USES), changed.alias("changed")))
+        ends, fresh = joined.drop("changed"), joined.where("changed").drop("changed")
+    last = jumps.join(ends.select(F.col("node").alias("next"), *renamed), "next", "left").select("node", *(more[use].alias(use) for use in USES))
+    return ends.unionByName(last).select(F.col("node").alias(key), *(status_of_bits(F.col(use)).alias(use) for use in USES))
