@@ -27,30 +27,30 @@ from strataloom.operators.joins import join_split
 #: Rounds after which a record joins the set if it is the first with any of its keys, not only with all.
 PATIENT_ROUNDS = 6
 
-_EVENTS = "slot long, winner long, key string, since long, until long, held array<long>"
+_EVENTS = "slot long, winner long, key binary, since long, until long, held array<long>"
 
 
 class _Slots:
     """The slots of one group, and since when keys are held."""
 
     def __init__(self):
-        self.slot: dict[str, int] = {}
-        self.since: dict[str, tuple[int, list[int]]] = {}
-        self.holder: dict[int, tuple[int, list[int], list[str]]] = {}
+        self.slot: dict[bytes, int] = {}
+        self.since: dict[bytes, tuple[int, list[int]]] = {}
+        self.holder: dict[int, tuple[int, list[int], list[bytes]]] = {}
         self.rows: list[tuple] = []
 
-    def _free(self, key: str, until: int | None) -> None:
+    def _free(self, key: bytes, until: int | None) -> None:
         since, quality = self.since.pop(key)
         self.rows.append((self.slot.pop(key), None, key, since, until, quality))
 
-    def _hold(self, slot: int, seq: int, quality: list[int], keys: list[str]) -> None:
+    def _hold(self, slot: int, seq: int, quality: list[int], keys: list[bytes]) -> None:
         self.holder[slot] = (seq, quality, keys)
         for key in keys:
             if key in self.slot:
                 self._free(key, seq)
             self.slot[key], self.since[key] = slot, (seq, quality)
 
-    def take(self, seq: int, quality: list[int], keys: list[str]) -> None:
+    def take(self, seq: int, quality: list[int], keys: list[bytes]) -> None:
         slot = next((self.slot[key] for key in keys if key in self.slot), None)
         if slot is None:
             self._hold(seq, seq, quality, keys)
@@ -68,7 +68,7 @@ class _Slots:
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (label, seq, quality, keys), sorted by label and seq, to events; memory follows the slots of one label."""
-    schema = pa.schema([("slot", pa.int64()), ("winner", pa.int64()), ("key", pa.string()), ("since", pa.int64()), ("until", pa.int64()), ("held", pa.list_(pa.int64()))])
+    schema = pa.schema([("slot", pa.int64()), ("winner", pa.int64()), ("key", pa.binary()), ("since", pa.int64()), ("until", pa.int64()), ("held", pa.list_(pa.int64()))])
     of: int | None = None
     slots = _Slots()
 
@@ -133,6 +133,14 @@ def _changes(others: DataFrame, events: DataFrame, every: bool) -> DataFrame:
     return cut(better.unionByName(_first_of_keys(free, every)).distinct())
 
 
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (seq, keys, quality) with those of their keys, in order, that other records have too; null if there are none."""
+    held = rows.select("seq", F.posexplode("keys").alias("place", "key"))
+    several = held.groupBy("key").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).where("a <> b").select("key")
+    kept = held.join(several, "key", "left_semi").groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("kept"))
+    return cut(rows.drop("keys").join(kept, "seq", "left").select("seq", F.col("kept.key").alias("keys"), "quality"))
+
+
 def merge_records(records: DataFrame, seq: str, keys: Column, quality: Column) -> DataFrame:
     """(slot, winner): for each slot the number of the record that opened it, and of the one that holds it at last.
 
@@ -141,11 +149,13 @@ def merge_records(records: DataFrame, seq: str, keys: Column, quality: Column) -
     from the first on.  A record without keys has a slot of its own.  The result is that
     of going through all records in order, however they are dealt.  Records that open or take
     over slots and share keys, directly or by others of them, are folded one after another in
-    one task, a batch at a time; all others are looked up where they are.
+    one task, a batch at a time; all others are looked up where they are.  Keys are held as digests of
+    16 bytes, and those of one record alone, by which none is found, are left out at the start.
     """
-    rows = cut(records.select(F.col(seq).cast("long").alias("seq"), F.array_distinct(F.array_compact(keys)).alias("keys"), quality.cast("array<long>").alias("quality")))
-    free = rows.where("keys is null or size(keys) = 0").select(F.col("seq").alias("slot"), F.col("seq").alias("winner"))
-    rows = rows.where("size(keys) > 0")
+    digests = F.transform(F.array_distinct(F.array_compact(keys)), lambda k: F.unhex(F.md5(k)))
+    rows = shared_keys(cut(records.select(F.col(seq).cast("long").alias("seq"), digests.alias("keys"), quality.cast("array<long>").alias("quality"))))
+    free = rows.where("keys is null").select(F.col("seq").alias("slot"), F.col("seq").alias("winner"))
+    rows = rows.where("keys is not null")
     known, turn = cut(_first_of_keys(rows, True)), 0
     while True:
         active = cut(rows.join(known, "seq", "left_semi"))
