@@ -16,8 +16,7 @@ TERMINAL = ("succeeded", "skipped")
 ENDED = (*TERMINAL, "failed")
 
 _SNAPSHOT = T.StructType([T.StructField("state", T.StringType()), T.StructField("attempts", T.LongType()), T.StructField("last_error", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("ended", T.LongType()), T.StructField("known", T.LongType())])
-_SEQ = T.StructType([T.StructField("seq", T.LongType())])
-_CHANGE = T.StructType([T.StructField("state", T.StringType()), T.StructField("error", T.StringType()), T.StructField("at", T.LongType())])
+_CHANGE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("state", T.StringType()), T.StructField("error", T.StringType()), T.StructField("at", T.LongType())])
 #: What a stream puts out for each address that a batch touches; ``known`` grows with what is known of it.
 ENTRY = "url string, state string, attempts long, last_error string, seq long, known long"
 
@@ -45,37 +44,38 @@ class Entries(StatefulProcessor):
 
     A transition that comes twice is known by its number as long as it is in the journal; the
     stream drops those older than the watermark.  When the watermark passes transitions, the timer
-    folds them into the snapshot, so that state stays as small as the lateness allowed.
+    folds them into the snapshot, so that state stays as small as the lateness allowed.  The journal is read
+    and written whole, once for all rows of an address in a batch: each call to the state crosses processes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.snapshot = handle.getValueState("snapshot", _SNAPSHOT)
-        self.journal = handle.getMapState("journal", _SEQ, _CHANGE)
+        self.journal = handle.getListState("journal", _CHANGE)
 
     def _state(self) -> tuple[tuple | None, dict[int, tuple]]:
         held = self.snapshot.get() if self.snapshot.exists() else None
-        return (tuple(held) if held is not None else None), {key[0]: tuple(change) for key, change in self.journal.iterator()}
+        return (tuple(held) if held is not None else None), {seq: change for seq, *change in self.journal.get()}
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  the interface's names
         snapshot, journal = self._state()
-        newest = None
+        fresh: dict[int, tuple] = {}
         for row in rows:
-            if row.seq not in journal:
-                journal[row.seq] = (row.state, row.error, int(row.at.timestamp() * 1000))
-                self.journal.updateValue((row.seq,), journal[row.seq])
-                newest = max(newest or 0, journal[row.seq][2])
-        if newest is not None:
-            self.handle.registerTimer(newest)
+            if row.seq not in journal and row.seq not in fresh:
+                fresh[row.seq] = (row.state, row.error, int(row.at.timestamp() * 1000))
+        if fresh:
+            self.journal.appendList([(seq, *change) for seq, change in fresh.items()])
+            self.handle.registerTimer(max(0, *(at for _, _, at in fresh.values())))
+        journal |= fresh
         state, attempts, error, seq, _, known = _replayed(snapshot, journal)
         yield Row(url=key[0], state=state, attempts=attempts, last_error=error, seq=seq, known=known)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         snapshot, journal = self._state()
         passed = {seq: change for seq, change in journal.items() if change[2] <= expiredTimerInfo.getExpiryTimeInMs()}
-        for seq in passed:
-            self.journal.removeKey((seq,))
         if passed:
+            left = [(seq, *change) for seq, change in journal.items() if seq not in passed]
+            self.journal.put(left) if left else self.journal.clear()
             self.snapshot.update(_replayed(snapshot, passed))
         return iter([])
 
