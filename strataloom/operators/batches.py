@@ -10,9 +10,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from strataloom.lineage import cut
+from strataloom.lineage import cut, slices
 from strataloom.operators.ordered import running_sums
 
 #: Rows of a group that one task goes through.
@@ -166,9 +167,9 @@ def overlapping_windows(docs: DataFrame, keep: Sequence[str], text: str = "text"
     """``keep`` columns with (chunk_index, heading, tokens, content) of each window of a text; a null text is empty and has one."""
 
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = ("chunk_index", "heading", "tokens", "content")
+        names, shape = ("chunk_index", "heading", "tokens", "content"), to_arrow_type(_WINDOWS)
         for batch in batches:
-            yield pa.array([[dict(zip(names, w, strict=True)) for w in line_windows(t or "", most, overlap)] for t in batch.to_pylist()])
+            yield pa.concat_arrays([pa.array([[dict(zip(names, w, strict=True)) for w in line_windows(t or "", most, overlap)] for t in part.to_pylist()], shape) for part in slices(batch)])
 
     windows = F.arrow_udf(split, _WINDOWS)
     return docs.select(*keep, F.explode(windows(F.col(text).cast("string"))).alias("w")).select(*keep, "w.*")
