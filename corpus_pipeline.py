@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import cut, join_small, shared_folder, table
+from strataloom.llm.common import cut, gathered, join_small, shared_folder, table
 from strataloom.llm.line_dedup import drop_boilerplate
 from strataloom.llm.mixing import mix_sources
 from strataloom.llm.near_dedup import near_duplicates
@@ -57,10 +57,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are no duplicates; an empty table stays empty.
     """
     rows = numbered(docs)
-    classes = cut(near_duplicates(rows.select("_row", "doc.text"), key="_row").select("_row", "component_id"))
+    classes = gathered(near_duplicates(rows.select("_row", "doc.text"), key="_row").select("_row", "component_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_key"), "doc_id", "_row"))
     kept = classes.join(rows.select("_row", "doc.doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    copies = cut(classes.select("_row").join(kept, "_row", "left_anti"))
+    copies = gathered(classes.select("_row").join(kept, "_row", "left_anti"))
     return join_small(rows, copies, "_row", "left_anti", 16).select("doc.*")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.common import HOT_ROWS, cut, mix, shingle_hashes, text_words
+from strataloom.llm.common import HOT_ROWS, cut, gathered, mix, shingle_hashes, text_words
 from strataloom.llm.common import join_sized as _join_sized
 from strataloom.llm.common import join_small as _join_small
 
@@ -151,13 +151,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``HOT_ROWS`` members, so that a large star is dealt over several tasks.
     """
     stars = pairs.groupBy("u").agg((F.floor(F.count("*") / HOT_ROWS) + 1).alias("parts"))
-    stars = cut(stars)
-    parted = cut(join_small(pairs, stars, "u", "inner", 24).select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")))
+    stars = gathered(stars)
+    parted = gathered(join_small(pairs, stars, "u", "inner", 24).select("u", "v", F.pmod(F.xxhash64("v"), F.col("parts")).alias("part")))
     members = join_small(sets, parted.withColumnRenamed("v", "rep"), "rep", "inner", 32).select("u", "part", F.col("rep").alias("v"), "shingles")
     centres = join_small(sets, stars.withColumnRenamed("u", "rep"), "rep", "inner", 24)
     centres = centres.select(F.col("rep").alias("u"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"), "shingles")
     rows = members.unionByName(centres).repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
-    return cut(rows.mapInArrow(_confirm(percent), "u long, v long"))
+    return gathered(rows.mapInArrow(_confirm(percent), "u long, v long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,25 +166,25 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the links are stars; each step
     shuffles the links once, those of a hot node apart, and none is sent to the driver.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = gathered(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     now = before = None
     while True:
         wide = now is not None and now[0] > HOT_LINKS
 
         def joined(rows: DataFrame, least: DataFrame, wide: bool = wide) -> DataFrame:
-            return join_sized(rows, cut(least), "u") if wide else rows.join(least, "u")
+            return join_sized(rows, gathered(least), "u") if wide else rows.join(least, "u")
 
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("size"))
         down = joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = cut(down) if wide else down
+        down = gathered(down) if wide else down
         least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
         small = joined(down, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.*").where("u <> v").distinct())
+        edges = gathered(small.select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
+            return gathered(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots))
         before = now
 
 
@@ -205,7 +205,7 @@ class _Links:
 
     def compare(self, pairs: DataFrame) -> None:
         pairs = pairs if self.tried is None else pairs.join(self.tried, ["u", "v"], "left_anti")
-        pairs = cut(pairs)
+        pairs = gathered(pairs)
         links = confirmed(pairs, self.sets, self.percent)
         if self.found is None:
             self.found = components(links)
@@ -217,10 +217,10 @@ class _Links:
 
 def _shared(members: DataFrame) -> DataFrame:
     """Members (bucket, rep, n, at) of buckets that have several, with the bucket's size and their own number of mates."""
-    sizes = cut(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    shared = cut(join_sized(members, sizes, "bucket"))
-    mates = cut(shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("mates")))
-    return cut(join_small(shared, mates, "rep", "inner", 24).select("bucket", "size", "rep", "n", "at", "mates"))
+    sizes = gathered(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    shared = gathered(join_sized(members, sizes, "bucket"))
+    mates = gathered(shared.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("mates")))
+    return gathered(join_small(shared, mates, "rep", "inner", 24).select("bucket", "size", "rep", "n", "at", "mates"))
 
 
 def _parts():
@@ -231,8 +231,8 @@ def _parts():
 
 def _unsettled(state: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components."""
-    several = cut(state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
-    return cut(join_small(state, several, "bucket", "left_semi", 24))
+    several = gathered(state.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"))
+    return gathered(join_small(state, several, "bucket", "left_semi", 24))
 
 
 def _pairs(near: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def _first_stars(state: DataFrame, links: _Links, percent: int) -> DataFrame:
     parts, part = _parts()
     best = Window.partitionBy("bucket", "part").orderBy(F.desc("mates"), "rep")
     placed = state.withColumn("part", part).select("bucket", "size", "rep", "n", F.row_number().over(best).alias("place"), F.first("rep").over(best).alias("u"), F.first("n").over(best).alias("un"))
-    placed = cut(placed)
+    placed = gathered(placed)
     near = placed.select("u", "un", "rep", "n")
     heads = placed.where((F.col("place") == 1) & (parts > 1))
     among = Window.partitionBy("bucket").orderBy("rep")  # a row a part
@@ -267,7 +267,7 @@ def _more_stars(state: DataFrame, stars: int, links: _Links, percent: int) -> Da
     """
     parts, part = _parts()
     best = Window.partitionBy("bucket", "part").orderBy(F.desc("mates"), "rep")
-    state = cut(state.withColumn("part", part).withColumn("place", F.row_number().over(best)))
+    state = gathered(state.withColumn("part", part).withColumn("place", F.row_number().over(best)))
     turn = (F.col("place") - 1) * parts + F.col("part")
     centres = state.where(turn < stars).select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("rep").alias("u"), F.col("n").alias("un"), F.col("at").alias("ua"), F.col("component").alias("uc"))
     near = state.join(centres, ["bucket", "part"]).where("component <> uc")
@@ -332,7 +332,7 @@ def _rare_buckets(sets: DataFrame, percent: int) -> DataFrame:
     missing and one more; the order decides how large buckets get, not what is found.
     """
     cells = sets.select("shingles").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    packed = cut(cells.groupBy(F.expr(f"cell div {_PACKED}")).applyInArrow(_pack, "block long, counts binary"))
+    packed = gathered(cells.groupBy(F.expr(f"cell div {_PACKED}")).applyInArrow(_pack, "block long, counts binary"))
     counts = np.zeros(CELLS, np.uint32)
     for row in packed.collect():  # four bytes a cell, whatever the input
         counts[row["block"] * _PACKED :][:_PACKED] = np.frombuffer(row["counts"], np.uint32)
@@ -362,17 +362,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sketches = cut(source.mapInArrow(_sketches(width), f"id {docs.schema[key].dataType.simpleString()}, n_shingles long, set_key binary, bands array<long>"))
     real = sketches.where("n_shingles > 0")
     classes = real.groupBy("set_key").agg(F.min("id").cast("long").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("size"))
-    rows = cut(classes)
+    rows = gathered(classes)
     members = rows.select("rep", "n", F.lit(0).cast("long").alias("at"), F.explode("bands").alias("bucket")).where("rep is not null")
     state = _shared(members)
-    wanted = cut(state.select(F.col("rep").alias("id")).distinct())
+    wanted = gathered(state.select(F.col("rep").alias("id")).distinct())
     texts = join_small(source.where("id is not null"), wanted, "id", "left_semi", 16)
     sets = cut(texts.mapInArrow(_shingle_sets(width), "rep long, shingles binary"))
 
     links = _Links(sets, percent)
     state = _unsettled(_first_stars(state, links, percent))
     if not state.isEmpty():
-        apart = cut(state.select("rep").distinct())
+        apart = gathered(state.select("rep").distinct())
         state = _shared(_rare_buckets(join_small(sets, apart, "rep", "left_semi", 16), percent))
         state, stars = _unsettled(links.of(state)), 1
         while not state.isEmpty():
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
             stars *= MORE_STARS
 
     own = rows.select("set_key", "size", "rep")
-    own = cut(own.join(links.found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "size", F.coalesce("component", "rep").alias("component")))
+    own = gathered(own.join(links.found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", "size", F.coalesce("component", "rep").alias("component")))
     keyed = sketches.select("id", "n_shingles", "set_key")
     out = join_sized(keyed.where("n_shingles > 0"), own, "set_key").select("id", "n_shingles", "component")
     out = out.unionByName(keyed.where("n_shingles = 0").select("id", "n_shingles", F.lit(None).cast("long").alias("component")))

@@ -125,6 +125,28 @@ def test_large_stars_and_hot_buckets_in_parts(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_few_rows_are_read_by_few_tasks(spark):
+    """What a shuffle into many parts leaves of a small side costs no task a part in all later steps."""
+    rows = planted(4, groups=6)
+    parts = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in parts}
+    context = spark.sparkContext
+    try:
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few rows", "")
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    tracker = context.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup("few rows") for i in tracker.getJobInfo(job).stageIds}
+    tasks = [s.numCompletedTasks for s in map(tracker.getStageInfo, stages) if s]
+    assert sum(n >= 96 for n in tasks) < 0.6 * sum(n > 0 for n in tasks)
+
+
 def test_texts_longer_than_a_slice(spark):
     rng = random.Random(13)
     words = [f"long{rng.randrange(10**6)}" for _ in range(150_000)]
