@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from strataloom.llm.mixing import fit_lengths, mix_sources
+from strataloom.llm import packing
 from strataloom.llm.packing import best_fit_decreasing, lower_bound, pack_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,3 +181,28 @@ def test_packing_in_many_groups(spark, sf_dir):
 
 def test_packing_of_an_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_new_words_of_many_texts_are_encoded_together():
+    parts = ["'", "''", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'r", "'v", "'l", "s", "t", "re", "VE", "1", "23", "²", "½", "É", "İ", "ß", "ŉ", "ſ", "ª", "×", "\u00ad", "\u00a0", " ", "\n", "\t", ".", "--", "漢", "<|endoftext|>"]
+    rng = random.Random(9)
+    texts = ["".join(rng.choices(parts, k=rng.randrange(16))) for _ in range(3000)] + [f"new{i}word" + "x" * (i % 7) for i in range(1000)]
+    encoder = packing.WordEncoder(PATH)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    calls = []
+    learn = encoder._learn
+    encoder._learn = lambda words: (calls.append(len(words)), learn(words))
+    assert encoder.encode(texts) == want
+    assert len(calls) == 1
+    assert encoder.encode(texts) == want and len(calls) == 1
+
+
+def test_long_texts_and_forgotten_words_have_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 40)
+    monkeypatch.setattr(packing, "LEARNED", 7)
+    monkeypatch.setattr(packing, "REMEMBERED", 25)
+    rng = random.Random(10)
+    texts = ["".join(rng.choices(["it's", " ", " ", "we'll", "-", "é2", "wordy", "\n", "'"], k=rng.randrange(120))) + str(rng.random()) for _ in range(200)]
+    encoder = packing.WordEncoder(PATH)
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [ids for at in range(0, len(texts), 9) for ids in encoder.encode(texts[at : at + 9])] == want
