@@ -4,7 +4,10 @@ import hashlib
 import random
 from collections import Counter
 
-from strataloom.llm.suffix_dedup import remove_repeats, suffix_ranks
+import numpy as np
+
+from strataloom.llm.common import prefix_hashes, range_hashes
+from strataloom.llm.suffix_dedup import GRAM, REACH, Phrases, _grams, cut_points, remove_repeats, suffix_ranks
 
 
 def brute(rows, length=400):
@@ -107,3 +110,31 @@ def test_suffix_ranks_order_all_suffixes(spark):
         for a, x in heads:
             for b, y in heads:
                 assert (a < b) == (x < y) and (a == b) == (x == y)
+
+
+def test_parts_of_many_cores_at_once():
+    rng = np.random.default_rng(6)
+    sizes = [900, 0, 399, 400, 2500, 120, 1700]
+    data = rng.integers(97, 103, sum(sizes), dtype=np.uint8)
+    p = Phrases(data, np.concatenate([[0], np.cumsum(sizes)]), 0, 0, len(data), 400)
+    which = np.arange(len(p.cut))[::2]
+    got, edges = p.strings(which)
+    assert len(which) > 20 and len(edges) == len(which) + 1
+    for i, a, b in zip(which.tolist(), edges[:-1], edges[1:], strict=True):
+        ends = np.array([p.core[0][i], *p.cuts[p.at[i] : p.chain[i] + 1], p.core[1][i]])
+        assert (got[a:b] == range_hashes(prefix_hashes(data), ends[:-1], ends[1:]) >> np.uint64(1)).all()
+    assert [len(x) for x in p.strings(which[:0])] == [0, 1]
+
+
+def test_cuts_are_the_least_of_some_window():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        sizes = rng.integers(0, 400, rng.integers(1, 6))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        data = rng.integers(97, 97 + rng.integers(1, 26), offsets[-1], dtype=np.uint8)
+        want = set()
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            for at in range(a, b - REACH - GRAM + 2):
+                window = _grams(data)[at : at + REACH]
+                want |= {at + int(i) for i in np.flatnonzero(window == window.min())}
+        assert sorted(want) == cut_points(data, offsets).tolist()
