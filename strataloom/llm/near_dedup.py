@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strataloom.llm.common import HOT_ROWS, cut, gathered, mix, shingle_hashes, text_words
+from strataloom.llm.common import HOT_ROWS, cut, gathered, mix, shingle_hashes, stored, text_words
 from strataloom.llm.common import join_sized as _join_sized
 from strataloom.llm.common import join_small as _join_small
 
@@ -165,8 +165,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps until the links are stars; each step
     shuffles the links once, those of a hot node apart, and none is sent to the driver.
+    Each step's links are stored, since their joins would multiply estimated sizes.
     """
-    edges = gathered(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = stored(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     now = before = None
     while True:
         wide = now is not None and now[0] > HOT_LINKS
@@ -180,7 +181,7 @@ def components(links: DataFrame) -> DataFrame:
         down = gathered(down) if wide else down
         least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
         small = joined(down, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = gathered(small.select("e.*").where("u <> v").distinct())
+        edges = stored(small.select("e.*").where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

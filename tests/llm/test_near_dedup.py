@@ -181,3 +181,19 @@ def test_densified_signatures_estimate_similarity():
         a, b = map(signature, own)
         errors.append((a == b).mean() - 60 / 80)
     assert len(a) == BINS and abs(np.mean(errors)) < 0.03
+
+
+def test_estimated_sizes_do_not_multiply(spark, monkeypatch):
+    """Sizes that Spark estimates for joins of joins stay short over the rounds; the driver holds every digit."""
+    rng = random.Random(8)
+    cuts = []
+    plain = common.cut
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(plain(df)) or cuts[-1])
+    base = [f"t{i}" for i in range(204)]
+    blocks = [[f"e{i}_{j}" for j in range(10)] for i in range(20)]
+    rows = [(i, " ".join(base + [w for block in rng.sample(blocks, 10) for w in block])) for i in range(120)]
+    rows += [(200 + i, " ".join(f"x{200 + i}_{at}" if at in places else w for at, w in enumerate(base))) for i, places in enumerate(((50, 150), (20, 100, 180)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows)
+    # one of more than 4,300 digits can't even be read here
+    assert max(df._jdf.queryExecution().analyzed().stats().sizeInBytes().bit_length() for df in cuts) < 4000
